@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, language
+from . import bpe, decontaminate, language, quality
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_language": language.op2_language,
     "op4_decontaminate": decontaminate.op4_decontaminate,
+    "op7_quality": quality.op7_quality,
     "op9_byte_bpe": bpe.op9_byte_bpe,
 }
 ORACLES: dict[str, str] = {
