@@ -6,16 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, language, quality, substrings
+from . import bpe, decontaminate, jaccard, language, quality, substrings
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_language": language.op2_language,
     "op4_decontaminate": decontaminate.op4_decontaminate,
+    "op6_jaccard": jaccard.op6_jaccard,
     "op7_quality": quality.op7_quality,
     "op8_substrings": substrings.op8_substrings,
     "op9_byte_bpe": bpe.op9_byte_bpe,
 }
 ORACLES: dict[str, str] = {
     "op4_decontaminate": decontaminate.OP4_SQL,
+    "op6_jaccard": jaccard.OP6_SQL,
     "op8_substrings": substrings.OP8_SQL,
 }
