@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, jaccard, language, quality, substrings
+from . import bpe, decontaminate, jaccard, language, lines, quality, substrings
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_lines": lines.op1_lines,
     "op2_language": language.op2_language,
     "op4_decontaminate": decontaminate.op4_decontaminate,
     "op6_jaccard": jaccard.op6_jaccard,
@@ -17,6 +18,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_byte_bpe": bpe.op9_byte_bpe,
 }
 ORACLES: dict[str, str] = {
+    "op1_lines": lines.OP1_SQL,
     "op4_decontaminate": decontaminate.OP4_SQL,
     "op6_jaccard": jaccard.OP6_SQL,
     "op8_substrings": substrings.OP8_SQL,
