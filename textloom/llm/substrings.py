@@ -5,14 +5,16 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from .common import U64, Powers, Windows, WordHashes, table, winnow
+from .common import U64, Powers, Windows, WordHashes, mix, table, winnow
 
 LENGTH = 35
+#: Characters of text for each bucket of windows.
+PER_BUCKET = 16_000_000
 
 
 def levels(length: int) -> list[int]:
@@ -20,7 +22,7 @@ def levels(length: int) -> list[int]:
     out = [length]
     while out[0] > 9:
         out.insert(0, -(-out[0] // 2))
-    return out
+    return out[-3:] if len(out) > 3 else out
 
 
 def offsets(short: int, long: int, length: int) -> list[int]:
@@ -34,97 +36,185 @@ def offsets(short: int, long: int, length: int) -> list[int]:
     return [x for x in out if x <= spare]
 
 
-def with_key(docs: DataFrame, doc: str, text: str) -> DataFrame:
-    """Rows as (doc, text, key); rows that are the same document and text share a key."""
-    return docs.select(F.col(f"`{doc}`").alias("doc"), F.col(f"`{text}`").cast("string").alias("text")).withColumn(
-        "key", F.struct(F.xxhash64("doc", "text").alias("a"), F.xxhash64("text", F.lit(1)).alias("b"))
-    ).select("doc", "text", "key.a", "key.b")
-
-
 def split(text: bytes | None) -> list[bytes]:
     return text.split() if text else []
 
 
-def repeated(rows: DataFrame) -> DataFrame:
-    """The rows whose h is that of another row too; counts leave a task as one row a value."""
-    again = rows.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h")
-    return rows.join(again.hint("merge"), "h")
+#: Windows that a task compares among themselves before it asks the buckets; marks a window without an owner.
+UNIT, NOBODY = 1_000_000, 0xFFFFFFFF
+PLACES = "doc long, version int, starts binary"
+
+
+def places(owner: np.ndarray, starts: np.ndarray, keys: np.ndarray) -> tuple[list, list, list]:
+    """Each owner's starts as packed 32-bit integers."""
+    if not len(owner):
+        return [], [], []
+    order = np.argsort(owner, kind="stable")
+    owner, starts = owner[order], starts[order].astype(np.int32)
+    first = np.concatenate(([0], np.flatnonzero(np.diff(owner)) + 1, [len(owner)])).tolist()
+    own = keys[owner[first[:-1]]]
+    return own[:, 0].tolist(), own[:, 1].tolist(), [starts[i:j].tobytes() for i, j in zip(first, first[1:], strict=False)]
 
 
-def _anchors(short: int, long: int, length: int):
-    """Passes over texts: the winnowed short windows, each with the long windows around it."""
-    around = offsets(short, long, length)
+def again(hashes: np.ndarray, more: list[np.ndarray], nobody: np.ndarray) -> list[np.ndarray]:
+    """Which windows stand twice or more, by each of the longer windows around them that fits (not 0)."""
+    _, number = np.unique(hashes, return_inverse=True)
+    weight = 1 + nobody.astype(np.int64)
+    out = []
+    for w in more:
+        _, at = np.unique((number.astype(U64) << U64(32)) | w, return_inverse=True)
+        out.append((np.bincount(at, weight)[at] > 1) & (w != 0) & ~nobody)
+    return out
+
+
+class Unit:
+    """Windows of many texts on their way to the buckets of their hashes.
+
+    A window that stands twice in the unit is repeated; it goes to its bucket once, without an owner, so that
+    a window of a third of all texts is one row from each unit.
+    """
+
+    NAMES = ("bucket", "h", "w", "at", "owner", "keys", "doc", "version", "starts")
+    TYPES = (pa.int64(), *[pa.binary()] * 5, pa.int64(), pa.int32(), pa.binary())
+    SCHEMA = "bucket long, h binary, w binary, at binary, owner binary, keys binary, doc long, version int, starts binary"
+
+    def __init__(self, buckets: int, around: list[int]):
+        self.buckets, self.around = buckets, around
+        self.clear()
+
+    def clear(self) -> None:
+        self.keys, self.parts, self.held = [], [], 0
+
+    def add(self, doc: int, version: int, hashes: np.ndarray, at: np.ndarray, more: list[np.ndarray]) -> None:
+        self.keys.append((doc, version))
+        self.parts.append((hashes, at, *more))
+        self.held += len(at)
+
+    def flush(self) -> Iterator[pa.RecordBatch]:
+        if not self.held:
+            return self.clear()
+        keys = np.array(self.keys, np.int64)
+        owner = np.repeat(np.arange(len(keys)), [len(p[1]) for p in self.parts])
+        hashes, at, *more = (np.concatenate(x) for x in zip(*self.parts, strict=True))
+        whole = hashes.copy()
+        for w in more:
+            whole = mix(whole ^ w)
+        _, first, number, count = np.unique(whole, return_index=True, return_inverse=True, return_counts=True)
+        twice = count[number] > 1
+        known = [np.flatnonzero(twice & (w != 0)) for w in more]
+        done = places(np.concatenate([owner[k] for k in known]), np.concatenate([at[k] - b for k, b in zip(known, self.around, strict=True)]), keys)
+        ask = np.concatenate((np.flatnonzero(~twice), first[count > 1]))
+        whose = np.where(twice[ask], NOBODY, owner[ask])
+        bucket = (hashes[ask] % U64(self.buckets)).astype(np.int64)
+        order = np.argsort(bucket, kind="stable")
+        rows = []
+        for part in np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1):
+            if len(part):
+                own, local = np.unique(whose[part], return_inverse=True)
+                local = np.where(whose[part] == NOBODY, NOBODY, local).astype(np.uint32)
+                packed = [np.concatenate([w[ask[part]].astype(np.uint32) for w in more])]
+                rows.append((int(bucket[part[0]]), hashes[ask[part]].tobytes(), packed[0].tobytes(), at[ask[part]].astype(np.int32).tobytes(), local.tobytes(), keys[own[own != NOBODY]].tobytes(), None, None, None))
+        rows += [(d % self.buckets, None, None, None, None, None, d, v, x) for d, v, x in zip(*done, strict=True)]
+        self.clear()
+        for k in range(0, len(rows), 500):
+            columns = zip(*rows[k : k + 500], strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, self.TYPES, strict=True)], names=self.NAMES)
+
+
+def _decide(around: list[int]):
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        done = group[group["starts"].notna()]
+        out = ([*done["doc"].astype("int64")], [*done["version"].astype("int32")], [*done["starts"]])
+        asked = group[group["h"].notna()]
+        if len(asked):
+            hashes = np.concatenate([np.frombuffer(x, U64) for x in asked["h"]])
+            at = np.concatenate([np.frombuffer(x, np.int32) for x in asked["at"]])
+            more = [np.frombuffer(x, np.uint32).reshape(len(around), -1) for x in asked["w"]]
+            more = [np.concatenate([m[k] for m in more]).astype(U64) for k in range(len(around))]
+            keys, owners, base = [], [], 0
+            for k, o in zip(asked["keys"], asked["owner"], strict=True):
+                keys.append(np.frombuffer(k, np.int64).reshape(-1, 2))
+                o = np.frombuffer(o, np.uint32).astype(np.int64)
+                owners.append(np.where(o == NOBODY, -1, o + base))
+                base += len(keys[-1])
+            owner, keys = np.concatenate(owners), np.concatenate(keys)
+            found = again(hashes, more, owner < 0)
+            kept = [np.flatnonzero(f) for f in found]
+            more_out = places(np.concatenate([owner[k] for k in kept]), np.concatenate([at[k] - b for k, b in zip(kept, around, strict=True)]), keys)
+            out = tuple(a + b for a, b in zip(out, more_out, strict=True))
+        return pd.DataFrame({"doc": np.array(out[0], np.int64), "version": np.array(out[1], np.int32), "starts": out[2]})
+
+    return run
+
+
+def repeated(asked: DataFrame, around: list[int]) -> DataFrame:
+    """(doc, version, starts): packed starts of the windows that are repeated."""
+    found = asked.groupBy("bucket").applyInPandas(_decide(around), PLACES)
+    return found.groupBy("doc", "version").agg(F.collect_list("starts").alias("starts"))  # of one text: as long as it at most
+
+
+def _anchors(short: int, middle: int, length: int, buckets: int):
+    """The winnowed short windows of each text, with the middle windows around them."""
+    around = offsets(short, middle, length)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, powers = WordHashes(), Powers()
+        hashes, powers, unit = WordHashes(), Powers(), Unit(buckets, around)
         for batch in batches:
-            a, b = (batch.column(k).to_numpy(zero_copy_only=False) for k in (1, 2))
-            out = []
-            for k, text in enumerate(batch.column(0).cast(pa.binary())):
+            for text, doc, version in zip(batch.column(0).cast(pa.binary()), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 words = split(text.as_py())
                 if len(words) < length:
                     continue
                 windows = Windows(hashes.of(words), powers)
                 first = windows.all(short)
                 at = winnow(first, length - short + 1)
-                row = [first[at], np.full(len(at), a[k]), np.full(len(at), b[k]), at]
+                more = []
                 for before in around:
-                    fits = (at >= before) & (at - before + long <= len(words))
-                    row.append(np.where(fits, windows.at(np.where(fits, at - before, 0), long), U64(0)))
-                out.append(row)
-                if sum(len(r[0]) for r in out) > 50_000:
-                    yield _batch(out, len(around))
-                    out = []
-            if out:
-                yield _batch(out, len(around))
+                    fits = (at >= before) & (at - before + middle <= len(words))
+                    w = windows.at(np.where(fits, at - before, 0), middle) >> U64(32)
+                    more.append(np.where(fits, np.maximum(w, U64(1)), U64(0)))
+                unit.add(doc, version, first[at], at, more)
+                if unit.held > UNIT // 4:
+                    yield from unit.flush()
+        yield from unit.flush()
 
-    schema = "h long, a long, b long, at int, " + ", ".join(f"w{x} long" for x in range(len(around)))
-    return run, schema, around
+    return run, around
 
 
-def _batch(rows: list[list[np.ndarray]], n: int) -> pa.RecordBatch:
-    columns = [np.concatenate(x) for x in zip(*rows, strict=True)]
-    arrays = [pa.array(columns[0].view(np.int64)), pa.array(columns[1]), pa.array(columns[2]), pa.array(columns[3].astype(np.int32))]
-    arrays += [pa.array(c.view(np.int64)) for c in columns[4:]]
-    return pa.RecordBatch.from_arrays(arrays, names=["h", "a", "b", "at", *(f"w{x}" for x in range(n))])
+def starts_of(chunks: list[bytes] | None) -> np.ndarray:
+    return np.frombuffer(b"".join(chunks or []), np.int32).astype(np.int64)
 
 
-def _final(middle: int, length: int):
-    """Windows of full length that hold a repeated window of the level before, by hash."""
+def _final(middle: int, length: int, buckets: int):
+    """The windows of full length that hold a repeated middle window."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, powers = WordHashes(), Powers()
+        hashes, powers, unit = WordHashes(), Powers(), Unit(buckets, [0])
         for batch in batches:
-            a, b = (batch.column(k).to_numpy(zero_copy_only=False) for k in (1, 2))
-            for k, (text, starts) in enumerate(zip(batch.column(0).cast(pa.binary()), batch.column(3), strict=True)):
-                words = split(text.as_py())
+            for text, doc, version, chunks in zip(batch.column(0).cast(pa.binary()), *(batch.column(k).to_pylist() for k in (1, 2, 3)), strict=True):
+                words, begin = split(text.as_py()), starts_of(chunks)
                 windows = Windows(hashes.of(words), powers)
                 wanted = np.zeros(len(words) + 2, np.int32)
-                begin = np.array(starts.as_py(), np.int64)
                 np.add.at(wanted, np.maximum(begin - (length - middle), 0), 1)
                 np.add.at(wanted, np.minimum(begin, len(words) - length) + 1, -1)
                 at = np.flatnonzero(np.cumsum(wanted) > 0)
                 at = at[at <= len(words) - length]
-                n = len(at)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(windows.at(at, length).view(np.int64)), pa.array(np.full(n, a[k])), pa.array(np.full(n, b[k])), pa.array(at.astype(np.int32))],
-                    names=["h", "a", "b", "at"],
-                )
+                unit.add(doc, version, windows.at(at, length), at, [np.ones(len(at), U64)])
+                if unit.held > UNIT:
+                    yield from unit.flush()
+        yield from unit.flush()
 
-    return run, "h long, a long, b long, at int"
+    return run
 
 
 def _remove(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             counts, removed, kept = [], [], []
-            for text, starts in zip(batch.column(1).cast(pa.binary()), batch.column(2), strict=True):
-                words, begin = split(text.as_py()), starts.as_py()
+            for text, chunks in zip(batch.column(1).cast(pa.binary()), batch.column(2).to_pylist(), strict=True):
+                words, begin = split(text.as_py()), np.unique(starts_of(chunks))
                 covered = np.zeros(len(words) + 1, np.int32)
-                if begin:
-                    begin = np.array(begin, np.int64)
-                    np.add.at(covered, begin, 1)
-                    np.add.at(covered, begin + length, -1)
+                covered[begin] += 1
+                covered[begin + length] -= 1
                 gone = np.cumsum(covered)[:-1] > 0
                 counts.append(len(words))
                 removed.append(int(gone.sum()))
@@ -148,34 +238,24 @@ def remove_repeats(docs: DataFrame, doc: str = "doc_id", text: str = "text", len
     Levels: the length is halved until it is 9 words at most (35, 18, 9). At the first level stand the
     winnowed windows alone: every full window holds at least one, chosen by content, so all of its copies
     hold the same one. Those that are repeated grow to twice the length around the same place, those that
-    are repeated still to twice that again, at last at every start where a full window may stand. Each level
-    counts 64-bit hashes, a window must be repeated at all of them, and a value's rows are counted before
-    they are shuffled; a join that splits large keys brings the counts back.
+    are repeated still to twice that again, at last at every start where a full window may stand. The first
+    two levels meet in the buckets of the shortest windows' hashes, the last in those of its own; a
+    window must be repeated at all levels, the last by a 64-bit hash.
     """
-    steps = levels(length)
-    rows = with_key(docs, doc, text)
-    texts = rows.select("text", "a", "b")
-    if len(steps) == 1:
-        run, schema, around = _anchors(length, length, length)
-        found = texts.mapInArrow(run, schema).select("h", "a", "b", "at")
-    else:
-        short, middle = steps[0], steps[1]
-        run, schema, around = _anchors(short, middle, length)
-        small = repeated(texts.mapInArrow(run, schema))
-        for longer in steps[2:-1]:
-            raise NotImplementedError(f"{longer}: lengths over {4 * 9} words take another level")
-        grown = small.select(
-            "a", "b", F.explode(F.array(*(F.struct((F.col("at") - x).alias("at"), F.col(f"w{k}").alias("h")) for k, x in enumerate(around)))).alias("w")
-        ).select("w.h", "a", "b", "w.at").filter("h != 0")
-        grown = repeated(grown.distinct())
-        starts = grown.groupBy("a", "b").agg(F.collect_set("at").alias("starts"))  # one row's places: as long as its text at most
-        run, schema = _final(middle, length)
-        found = texts.join(starts.hint("merge"), ["a", "b"]).select("text", "a", "b", "starts").mapInArrow(run, schema)
-    spans = repeated(found).groupBy("a", "b").agg(F.collect_set("at").alias("starts"))
-    both = rows.join(spans.hint("merge"), ["a", "b"], "left").select("doc", "text", "starts")
-    schema = T.StructType([docs.schema[doc], *T._parse_datatype_string("n_words long, n_removed long, kept_text string").fields])
-    schema[0].name = "doc"
-    return both.mapInArrow(_remove(length), schema)
+    steps = [*levels(length)[:2], length]
+    size = docs.agg(F.sum(F.length(F.col(f"`{text}`").cast("string")))).first()[0] or 0
+    buckets = max(16, min(1 << 20, size // PER_BUCKET))
+    rows = docs.select(F.col(f"`{doc}`").cast("long").alias("doc"), F.col(f"`{text}`").cast("string").alias("text"))
+    keyed = rows.withColumns({"key": F.coalesce("doc", F.lit(-(1 << 63))), "version": F.shiftright(F.xxhash64("doc", "text"), 32).cast("int")})
+    run, around = _anchors(steps[0], steps[1] if len(levels(length)) > 1 else steps[0], length, buckets)
+    texts = keyed.select("text", "key", "version")
+    first = repeated(texts.mapInArrow(run, Unit.SCHEMA), around)
+    again_ = texts.join(first.hint("merge"), (F.col("key") == F.col("doc")) & (texts["version"] == first["version"]))
+    candidates = again_.select("text", "key", texts["version"], "starts")
+    last = repeated(candidates.mapInArrow(_final(steps[1] if len(levels(length)) > 1 else steps[0], length, buckets), Unit.SCHEMA), [0])
+    last = last.select(F.col("doc").alias("found"), F.col("version").alias("found_version"), "starts")
+    both = keyed.join(last.hint("merge"), (F.col("key") == F.col("found")) & (F.col("version") == F.col("found_version")), "left")
+    return both.select("doc", "text", "starts").mapInArrow(_remove(length), "doc long, n_words long, n_removed long, kept_text string")
 
 
 def op8_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
