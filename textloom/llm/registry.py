@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, jaccard, katz, language, lines, quality, substrings
+from . import bpe, chat, decontaminate, jaccard, katz, language, lines, quality, substrings
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_lines": lines.op1_lines,
+    "op10_chat": chat.op10_chat,
     "op2_language": language.op2_language,
     "op4_decontaminate": decontaminate.op4_decontaminate,
     "op5_katz": katz.op5_katz,
@@ -20,6 +21,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 ORACLES: dict[str, str] = {
     "op1_lines": lines.OP1_SQL,
+    "op10_chat": chat.OP10_SQL,
     "op4_decontaminate": decontaminate.OP4_SQL,
     "op5_katz": katz.op5_katz,
     "op6_jaccard": jaccard.OP6_SQL,
