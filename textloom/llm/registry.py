@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, decontaminate, jaccard, katz, language, lines, quality, substrings
+from . import bpe, chat, decontaminate, jaccard, katz, language, lines, quality, secrets, substrings
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_lines": lines.op1_lines,
     "op10_chat": chat.op10_chat,
     "op2_language": language.op2_language,
+    "op3_secrets": secrets.op3_secrets,
     "op4_decontaminate": decontaminate.op4_decontaminate,
     "op5_katz": katz.op5_katz,
     "op6_jaccard": jaccard.op6_jaccard,
