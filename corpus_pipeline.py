@@ -1,15 +1,77 @@
-"""A corpus pipeline of five stages."""
+"""A corpus pipeline of five stages over `documents`: each returns the documents it keeps, with all columns."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-STAGES: list = []
+from textloom.llm import bpe, decontaminate, jaccard, language, lines
+from textloom.llm.common import stored, table
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in which a language was found: null texts and texts without a letter go."""
+    model = language.fit(docs)
+    rows = docs.withColumn("_text", F.col("text"))
+    told = language.identify(rows.drop("lang_pred", "score"), model, "_text")
+    return told.filter("lang_pred <> 'und'").select(*docs.columns)
+
+
+def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, less their duplicate and near-duplicate lines."""
+    return lines.dedup_lines(docs).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+
+
+def keep_one_of_similar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of 0.85 by Jaccard over 4-word shingles, the one of the smallest id.
+
+    Documents without words stay. Rows that share an id with words are one document; the first by content stays.
+    """
+    groups = jaccard.group_similar(docs.select("doc_id", "text"))
+    others = groups.filter("component_id <> doc").select(F.col("doc").alias("doc_id")).distinct()
+    left = docs.join(others.hint("merge"), "doc_id", "left_anti").select(*docs.columns)
+    twice = groups.filter("doc is not null").groupBy("doc").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    if twice.isEmpty():
+        return left
+    again = left.join(twice.hint("merge"), left["doc_id"] == twice["doc"], "left_semi")
+    once = left.join(twice.hint("merge"), left["doc_id"] == twice["doc"], "left_anti")
+    empty = F.coalesce(F.trim(F.regexp_replace("text", "[ \\t-\\r]", "")), F.lit("")) == ""
+    return once.unionByName(again.filter(empty)).unionByName(again.filter(~empty).dropDuplicates(["doc_id"]))
+
+
+def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no window of a benchmark item."""
+    rows = docs.withColumn("_text", F.col("text"))
+    found = decontaminate.find_benchmark(rows.drop("n_words", "hit_spans", "items"), table(spark, sf_dir, "benchmark"), "_text")
+    return found.filter(F.size("hit_spans") == 0).select(*docs.columns)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Per document the number of its ids, their digest, and that of the decoded bytes."""
+    both = bpe.decode(bpe.encode(docs.select("doc_id", "text")).select("doc_id", "ids"))
+    return both.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
+STAGES = [
+    ("language", identify_language),
+    ("line_dedup", dedup_lines),
+    ("similar", keep_one_of_similar),
+    ("benchmark", drop_benchmark),
+    ("encode", encode),
+]
+#: Language identification and BPE are beyond SQL; tests compare the stages with brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
         docs = stage(spark, docs, sf_dir)
+        if name != STAGES[-1][0]:
+            docs = stored(docs)
     return docs
