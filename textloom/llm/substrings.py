@@ -244,7 +244,7 @@ def remove_repeats(docs: DataFrame, doc: str = "doc_id", text: str = "text", len
     """
     steps = [*levels(length)[:2], length]
     size = docs.agg(F.sum(F.length(F.col(f"`{text}`").cast("string")))).first()[0] or 0
-    buckets = max(16, min(1 << 20, size // PER_BUCKET))
+    buckets = max(64, min(1 << 20, size // PER_BUCKET))
     rows = docs.select(F.col(f"`{doc}`").cast("long").alias("doc"), F.col(f"`{text}`").cast("string").alias("text"))
     keyed = rows.withColumns({"key": F.coalesce("doc", F.lit(-(1 << 63))), "version": F.shiftright(F.xxhash64("doc", "text"), 32).cast("int")})
     run, around = _anchors(steps[0], steps[1] if len(levels(length)) > 1 else steps[0], length, buckets)
