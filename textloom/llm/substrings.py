@@ -190,7 +190,7 @@ def _final(middle: int, length: int, buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, powers, unit = WordHashes(), Powers(), Unit(buckets, [0])
         for batch in batches:
-            for text, doc, version, chunks in zip(batch.column(0).cast(pa.binary()), *(batch.column(k).to_pylist() for k in (1, 2, 3)), strict=True):
+            for text, doc, version, chunks in zip(batch["text"].cast(pa.binary()), *(batch[k].to_pylist() for k in ("key", "version", "starts")), strict=True):
                 words, begin = split(text.as_py()), starts_of(chunks)
                 windows = Windows(hashes.of(words), powers)
                 wanted = np.zeros(len(words) + 2, np.int32)
@@ -210,7 +210,7 @@ def _remove(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             counts, removed, kept = [], [], []
-            for text, chunks in zip(batch.column(1).cast(pa.binary()), batch.column(2).to_pylist(), strict=True):
+            for text, chunks in zip(batch["text"].cast(pa.binary()), batch["starts"].to_pylist(), strict=True):
                 words, begin = split(text.as_py()), np.unique(starts_of(chunks))
                 covered = np.zeros(len(words) + 1, np.int32)
                 covered[begin] += 1
@@ -220,7 +220,7 @@ def _remove(length: int):
                 removed.append(int(gone.sum()))
                 kept.append(b" ".join([w for w, x in zip(words, gone.tolist(), strict=True) if not x] if removed[-1] else words))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(counts, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())],
+                [batch["doc"], pa.array(counts, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())],
                 names=["doc", "n_words", "n_removed", "kept_text"],
             )
 
@@ -250,12 +250,14 @@ def remove_repeats(docs: DataFrame, doc: str = "doc_id", text: str = "text", len
     run, around = _anchors(steps[0], steps[1] if len(levels(length)) > 1 else steps[0], length, buckets)
     texts = keyed.select("text", "key", "version")
     first = repeated(texts.mapInArrow(run, Unit.SCHEMA), around)
-    again_ = texts.join(first.hint("merge"), (F.col("key") == F.col("doc")) & (texts["version"] == first["version"]))
-    candidates = again_.select("text", "key", texts["version"], "starts")
+    first = first.select(F.col("doc").alias("found"), F.col("version").alias("found_version"), "starts")
+    own = (F.col("key") == F.col("found")) & (F.col("version") == F.col("found_version"))
+    # Both joins read the same columns, so one shuffle of the texts serves them.
+    candidates = keyed.join(first.hint("merge"), own)
     last = repeated(candidates.mapInArrow(_final(steps[1] if len(levels(length)) > 1 else steps[0], length, buckets), Unit.SCHEMA), [0])
     last = last.select(F.col("doc").alias("found"), F.col("version").alias("found_version"), "starts")
-    both = keyed.join(last.hint("merge"), (F.col("key") == F.col("found")) & (F.col("version") == F.col("found_version")), "left")
-    return both.select("doc", "text", "starts").mapInArrow(_remove(length), "doc long, n_words long, n_removed long, kept_text string")
+    both = keyed.join(last.hint("merge"), own, "left")
+    return both.mapInArrow(_remove(length), "doc long, n_words long, n_removed long, kept_text string")
 
 
 def op8_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
