@@ -107,7 +107,7 @@ def _count_words(buckets: int):
         for batch in batches:
             for text in batch.column(0).cast(pa.binary()):
                 seen.update(tokens(text.as_py()))
-                if len(seen) > 600_000:
+                if len(seen) > 300_000:
                     yield rows(seen)
                     seen = Counter()
         if seen:
@@ -145,9 +145,9 @@ def _count_pairs(vocabulary, buckets: int):
                 words = tokens(text.as_py())
                 held.append(pair_ids(np.fromiter(map(number.get, words, repeat(UNKNOWN)), np.uint32, len(words))))
                 waiting += len(words)
-                if waiting > 2_000_000:
+                if waiting > 1_000_000:
                     fold()
-                    if len(seen) > 3_000_000:
+                    if len(seen) > 1_500_000:
                         yield rows()
                         seen, counts = seen[:0], counts[:0]
         if held:
@@ -351,7 +351,7 @@ def _send(model, word_buckets: int, pair_buckets: int):
                 asked.append(kinds[~here])
                 asked_n.append(n[~here])
                 held += len(split)
-                if held > 1_500_000 or len(keys) >= 20_000:
+                if held > 400_000 or len(keys) >= 20_000:
                     yield from flush()
                     keys, rare, rare_n, asked, asked_n, held = [], [], [], [], [], 0
             if heads:
