@@ -64,16 +64,18 @@ def removed_lines(docs: DataFrame, doc: str = "doc_id", text: str = "text", edit
     """
     lines = lines_of(docs, doc, text)
     place = F.struct("doc", "version", "at")
-    distinct = lines.groupBy("h").agg(F.min(place).alias("first"), F.first("line").alias("line"))
-    long = distinct.withColumn("n", F.length("line")).filter(F.col("n") >= least)
-    kept = long.select("h", F.explode(index_keys(F.col("line"), F.col("n"), edits)).alias("k"))
-    asked = long.select(F.col("h").alias("g"), F.explode(probe_keys(F.col("line"), F.col("n"), edits)).alias("k"))
+    # One value holds place and line, so that every use below reads the same shuffle of the lines.
+    distinct = lines.groupBy("h").agg(F.min(F.struct("doc", "version", "at", "line")).alias("m"))
+    first = lambda m: F.struct(*(F.col(f"{m}.{c}").alias(c) for c in ("doc", "version", "at")))
+    long = distinct.withColumn("n", F.length("m.line")).filter(F.col("n") >= least)
+    kept = long.select("h", F.explode(index_keys(F.col("m.line"), F.col("n"), edits)).alias("k"))
+    asked = long.select(F.col("h").alias("g"), F.explode(probe_keys(F.col("m.line"), F.col("n"), edits)).alias("k"))
     pairs = kept.join(asked.hint("merge"), "k").filter("h <> g").select(F.least("h", "g").alias("h"), F.greatest("h", "g").alias("g")).distinct()
-    one = pairs.join(distinct.select("h", "first", "line").hint("merge"), "h")
-    other = distinct.select(F.col("h").alias("g"), F.col("first").alias("first_g"), F.col("line").alias("line_g"))
-    both = one.join(other.hint("merge"), "g").filter(F.levenshtein("line", "line_g", edits) >= 0)
-    near = both.select(F.when(F.col("first") < F.col("first_g"), F.col("g")).otherwise(F.col("h")).alias("h")).distinct().withColumn("near", F.lit(True))
-    firsts = distinct.select("h", "first").join(near.hint("merge"), "h", "left")
+    one = pairs.join(distinct.hint("merge"), "h")
+    other = distinct.select(F.col("h").alias("g"), F.col("m").alias("w"))
+    both = one.join(other.hint("merge"), "g").filter(F.levenshtein("m.line", "w.line", edits) >= 0)
+    near = both.select(F.when(first("m") < first("w"), F.col("g")).otherwise(F.col("h")).alias("h")).distinct().withColumn("near", F.lit(True))
+    firsts = distinct.join(near.hint("merge"), "h", "left").select("h", first("m").alias("first"), "near")
     told = lines.select("h", "doc", "version", "at").join(firsts.hint("merge"), "h")
     gone = told.filter((place != F.col("first")) | F.col("near").isNotNull()).select("doc", "version", "at").distinct()
     return gone.groupBy("doc", "version").agg(F.array_sort(F.collect_list("at")).alias("removed"))
