@@ -30,6 +30,12 @@ CANONICAL = (
 )
 
 
+#: Bytes in the order of their ids: those that stand for themselves in byte-level vocabularies, then all others.
+BYTES = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+BYTES += [b for b in range(256) if b not in set(BYTES)]
+ID = [BYTES.index(b) + 1 for b in range(256)]
+
+
 def chunks(text: Column, mode: str = "gpt2") -> Column:
     """The text cut into chunks whose concatenation is the text."""
     return F.regexp_extract_all(text, F.lit("(?U)" + CHUNKS[mode]), F.lit(0))
@@ -53,14 +59,14 @@ class Merges:
 
     def __init__(self, merges: list[tuple[int, int]]):
         self.merges = merges
-        self.bytes = [SPECIAL.encode(), *(bytes([b]) for b in range(256))]
+        self.bytes = [SPECIAL.encode(), *(bytes([b]) for b in BYTES)]
         self.rank: dict[tuple[int, int], int] = {}
         for pair in merges:
             self.rank[pair] = len(self.bytes)
             self.bytes.append(self.bytes[pair[0]] + self.bytes[pair[1]])
 
     def encode(self, chunk: bytes) -> list[int]:
-        ids = [b + 1 for b in chunk]
+        ids = [ID[b] for b in chunk]
         while len(ids) > 1:
             best = min(((self.rank.get(p, 1 << 60), k) for k, p in enumerate(zip(ids, ids[1:], strict=False))))
             if best[0] == 1 << 60:
@@ -76,7 +82,7 @@ def train(counted: list[tuple[str, int]], vocab_size: int, min_frequency: int =
     An index leads from a pair to the chunks that hold it, so a merge touches those alone; a heap holds
     candidates by count, checked against the present count when they come up.
     """
-    words = [[b + 1 for b in c.encode()] for c, _ in counted]
+    words = [[ID[b] for b in c.encode()] for c, _ in counted]
     weight = [n for _, n in counted]
     count: Counter = Counter()
     where: dict[tuple[int, int], set[int]] = defaultdict(set)
