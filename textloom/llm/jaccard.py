@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,6 +19,8 @@ SIZE, PERCENT = 4, 85
 COMMON = 0.002
 #: Common shingles known to all tasks, at most; further ones stand by their hash.
 MOST_COMMON = 100_000
+#: Sets meet that share so many of their first shingles; prefixes are longer by as much, so that linked ones do.
+SHARED = 4
 #: Shingles of a group of candidates that one task joins; a larger group is split into blocks.
 BLOCK = 4_000_000
 
@@ -57,67 +58,80 @@ class Order:
         return np.concatenate((shingles[~last], tail[np.lexsort((tail, self.counts[at][last]))]))
 
 
+class Node:
+    __slots__ = ("edge", "children", "keys", "fewest", "most", "up", "mark")
+
+    def __init__(self, edge: list[int], n: int, up: Node | None):
+        self.edge, self.children, self.keys, self.fewest, self.most, self.up, self.mark = edge, {}, [], n, n, up, -1
+
+
 class PrefixTree:
     """Sets as paths of shingles in the global order; sets that begin alike share the path.
 
-    A node is [shingles of its edge, children by first shingle, sets that end here, fewest and most shingles of a
-    set below, a set below, whether all sets below are in one group]. A probe walks the tree once for all sets;
-    an edge is read in runs, and a subtree is left when what remains can't bring the overlap to the bound.
+    A probe marks the paths to the sets that share one of its first shingles and walks those once for all of them; an
+    edge is read in runs, and a subtree is left when what remains can't bring the overlap to the bound.
     """
 
     RUN = 48
 
     def __init__(self, percent: int):
-        self.percent = percent
-        self.root = [[], {}, [], 1 << 60, 0]
+        self.percent, self.root, self.leaf, self.probes = percent, Node([], 0, None), {}, 0
+        self.root.fewest = 1 << 60
 
     def add(self, key: int, path: list[int]) -> None:
         node, at = self.root, 0
         while True:
-            node[3], node[4] = min(node[3], len(path)), max(node[4], len(path))
+            node.fewest, node.most = min(node.fewest, len(path)), max(node.most, len(path))
             if at == len(path):
-                node[2].append(key)
-                return
-            child = node[1].get(path[at])
+                break
+            child = node.children.get(path[at])
             if child is None:
-                node[1][path[at]] = [path[at:], {}, [key], len(path), len(path)]
-                return
-            edge, same = child[0], 0
+                child = node.children[path[at]] = Node(path[at:], len(path), node)
+                node = child
+                break
+            edge, same = child.edge, 0
             while same < len(edge) and at + same < len(path) and edge[same] == path[at + same]:
                 same += 1
             if same < len(edge):
-                upper = [edge[:same], {edge[same]: child}, [], child[3], child[4]]
-                child[0] = edge[same:]
-                node[1][path[at]] = child = upper
+                upper = Node(edge[:same], child.fewest, node)
+                upper.most, upper.children[edge[same]] = child.most, child
+                child.edge, child.up = edge[same:], upper
+                node.children[path[at]] = child = upper
             node, at = child, at + same
-
-    def linked(self, path: list[int], skip) -> Iterator[int]:
-        """Keys of the sets linked with the probe; skip(key) tells which need no answer."""
-        p, n, probe = self.percent, len(path), set(path)
-        inside = probe.__contains__
-        stack = [(self.root, 0, 0)]
+        node.keys.append(key)
+        self.leaf[key] = node
+
+    def linked(self, path: list[int], candidates: set[int], skip) -> Iterator[int]:
+        """Keys among the candidates whose sets are linked with the probe; skip(key) tells which need no answer."""
+        p, n = self.percent, len(path)
+        inside = set(path).__contains__
+        self.probes += 1
+        for key in candidates:
+            node = self.leaf[key]
+            while node is not None and node.mark != self.probes:
+                node.mark = self.probes
+                node = node.up
+        stack = [(self.root, 0, 0)] if candidates else []
         while stack:
             node, depth, shared = stack.pop()
-            fewest, most = node[3], node[4]
-            if 100 * min(n, most) < p * max(n, fewest):
+            edge, dead = node.edge, False
+            if 100 * min(n, node.most) < p * max(n, node.fewest):
                 continue
-            edge, dead = node[0], False
             for k in range(0, len(edge), self.RUN):
                 run = edge[k : k + self.RUN]
                 shared += sum(map(inside, run))
                 missed = depth + k + len(run) - shared
                 # a set of m shingles below shares m - missed at most: 100 * (m - missed) >= p * (n + missed)
-                if 100 * (min(most, n + missed) - missed) < p * (n + missed):
+                if 100 * (min(node.most, n + missed) - missed) < p * (n + missed):
                     dead = True
                     break
             if dead:
                 continue
             depth += len(edge)
-            for key in node[2]:
-                if 100 * shared >= p * (n + depth - shared) and not skip(key):
+            for key in node.keys:
+                if key in candidates and 100 * shared >= p * (n + depth - shared) and not skip(key):
                     yield key
-            for child in node[1].values():
-                stack.append((child, depth, shared))
+            stack.extend((child, depth, shared) for child in node.children.values() if child.mark == self.probes)
 
 
 class Groups:
@@ -138,18 +152,33 @@ def tree_join(keys: list[int], sets: list[list[int]], percent: int, cross: list[
     With cross, only pairs of a marked and an unmarked set are looked at.
     """
     tree, groups, out = PrefixTree(percent), Groups(), []
+    holders: dict[int, dict[int, list[int]]] = {}  # shingle to the sets that begin with it, by their group when added
     order = sorted(range(len(keys)), key=lambda k: (bool(cross and cross[k]), len(sets[k]), keys[k]))
     for k in order:
+        own, path = keys[k], sets[k]
+        first = path[: len(path) - least_overlap(len(path), percent) + 1]
         if cross is None or cross[k]:
-            own = keys[k]
+            candidates = set()
+            for h in first:
+                by_group = holders.get(h)
+                if by_group:
+                    if len(by_group) > 1:  # groups that have met by now are one
+                        for g in [g for g in by_group if groups.root(g) != g]:
+                            by_group.setdefault(groups.root(g), []).extend(by_group.pop(g))
+                    here = groups.root(own)
+                    for g, members in by_group.items():
+                        if groups.root(g) != here:
+                            candidates.update(members)
             skip = lambda other: groups.root(other) == groups.root(own)  # noqa: E731, B023
-            for other in tree.linked(sets[k], skip):
+            for other in tree.linked(path, candidates, skip):
                 a, b = groups.root(own), groups.root(other)
                 if a != b:
                     groups.up[max(a, b)] = min(a, b)
                     out.append((own, other))
         if cross is None or not cross[k]:
-            tree.add(keys[k], sets[k])
+            tree.add(own, path)
+            for h in first:
+                holders.setdefault(h, {}).setdefault(groups.root(own), []).append(own)
     return out
 
 
@@ -201,22 +230,64 @@ def _common(size: int, share: float):
     return run
 
 
-def _prefixes(size: int, percent: int, common: tuple):
+def _prefixes(size: int, percent: int, common: tuple, buckets: int):
+    """The first shingles of each set, packed by the bucket of their hash."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles, order = Shingles(size), Order(*common)
+        held, owners, waiting = [], [], 0
+
+        def flush() -> pa.RecordBatch:
+            hashes = np.concatenate(held)
+            owner = np.repeat(np.arange(len(held)), [len(x) for x in held])
+            table_ = np.array(owners, np.int64)
+            bucket = (hashes % U64(buckets)).astype(np.int64)
+            by_bucket = np.argsort(bucket, kind="stable")
+            rows = []
+            for part in np.split(by_bucket, np.flatnonzero(np.diff(bucket[by_bucket])) + 1):
+                own, local = np.unique(owner[part], return_inverse=True)
+                rows.append((int(bucket[part[0]]), hashes[part].tobytes(), local.astype(np.uint32).tobytes(), table_[own].tobytes()))
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), *[pa.binary()] * 3), strict=True)], names=["bucket", "h", "owner", "sets"])
+
         for batch in batches:
-            out, docs, ns, lengths = [], [], [], []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()), strict=True):
+            for rep, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()), strict=True):
                 path = order.sort(shingles.of(text.as_py()))
-                out.append(path[: len(path) - least_overlap(len(path), percent) + 1] if len(path) else path)
-                docs.append(doc)
-                ns.append(len(path))
-                lengths.append(len(out[-1]))
-                if sum(lengths[-100:]) > 100_000 or len(docs) >= 500:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out).view(np.int64)), pa.array(np.repeat(np.array(docs, np.int64), lengths)), pa.array(np.repeat(np.array(ns, np.int32), lengths))], names=["h", "rep", "n"])
-                    out, docs, ns, lengths = [], [], [], []
-            if docs:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out).view(np.int64)), pa.array(np.repeat(np.array(docs, np.int64), lengths)), pa.array(np.repeat(np.array(ns, np.int32), lengths))], names=["h", "rep", "n"])
+                if not len(path):
+                    continue
+                held.append(path[: len(path) - least_overlap(len(path), percent) + SHARED])
+                owners.append((rep, len(path)))
+                waiting += len(held[-1])
+                if waiting > 400_000:
+                    yield flush()
+                    held, owners, waiting = [], [], 0
+        if held:
+            yield flush()
+
+    return run
+
+
+def _places(percent: int):
+    """(at, rep, weight): sets that share a shingle meet at the smallest of them. Weights add up to SHARED where they
+    share enough; sets of no chain of lengths that may link don't meet."""
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        hashes = np.concatenate([np.frombuffer(x, U64) for x in group["h"]])
+        sets = [np.frombuffer(x, np.int64).reshape(-1, 2) for x in group["sets"]]
+        base = np.cumsum([0, *(len(x) for x in sets)])
+        owner = np.concatenate([np.frombuffer(x, np.uint32).astype(np.int64) + b for x, b in zip(group["owner"], base, strict=False)])
+        sets = np.concatenate(sets)
+        rep, n = sets[owner, 0], sets[owner, 1]
+        order = np.lexsort((n, hashes))
+        hashes, rep, n = hashes[order], rep[order], n[order]
+        begin = np.concatenate(([True], (hashes[1:] != hashes[:-1]) | (100 * n[:-1] < percent * n[1:])))
+        start = np.flatnonzero(begin)
+        size = np.diff(np.append(start, len(begin)))
+        least = np.minimum.reduceat(rep, start)
+        at, many = np.repeat(least, size), np.repeat(size, size)
+        keep = (many > 1) & (at != rep)
+        weight = np.where((many[keep] > 2) | (n[keep] < 4 * SHARED), SHARED, 1)
+        pairs = pd.DataFrame({"at": at[keep], "rep": rep[keep], "weight": weight}).astype("int64")
+        return pairs.groupby(["at", "rep"], as_index=False)["weight"].sum()
 
     return run
 
@@ -266,41 +337,46 @@ def group_similar(docs: DataFrame, doc: str = "doc_id", text: str = "text", size
 def similar_links(rows: DataFrame, firsts: DataFrame, size: int, percent: int) -> DataFrame:
     """Links (a, b) that span the groups of the distinct sets: firsts has (doc, a, b, n) for each of them.
 
-    A doc with several texts may stand for several sets; each has its own key while sets are joined.
+    A doc with several rows may stand for several sets; each then has its own key while sets are joined.
     """
-    keyed = firsts.withColumn("rep", F.xxhash64("doc", "a", "b"))
-    single = keyed.groupBy("doc").agg(F.max(F.struct("a", "b")).alias("s"), F.count(F.lit(1)).alias("k"))
-    keyed = keyed.join(single.hint("merge"), "doc").withColumn("rep", F.when(F.col("k") == 1, F.col("doc")).otherwise(F.col("rep")))
-    names = stored(keyed.select("doc", "rep", F.col("a").alias("sa"), F.col("b").alias("sb"), "n"))
-    # The text of each set: found again by its signature, one row each.
-    texts = rows.filter("doc is not null").join(names.filter("rep = doc").select("doc", "rep", "n").hint("merge"), "doc").select("rep", "text", "n").dropDuplicates(["rep"])
-    several = names.filter("rep <> doc")
-    if not several.isEmpty():
-        again = rows.filter("doc is not null").join(several.select("doc").distinct(), "doc").select("doc", "text")
-        signed = again.mapInArrow(_with_text(size), "doc long, text string, sa long, sb long")
-        extra = signed.join(several.hint("merge"), ["doc", "sa", "sb"]).select("rep", "text", "n").dropDuplicates(["rep"])
-        single_ids = names.filter("rep = doc")
-        texts = texts.join(single_ids.select("rep"), "rep", "left_semi").union(extra)
+    known = rows.filter("doc is not null")
+    often = known.groupBy("doc").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select("doc")
+    several = not often.isEmpty()
+    texts = known.join(firsts.select("doc").distinct().hint("merge"), "doc", "left_semi").select(F.col("doc").alias("rep"), "text")
+    names = None
+    if several:
+        again = known.join(often.hint("merge"), "doc", "left_semi").mapInArrow(_with_text(size), "doc long, text string, a long, b long")
+        again = again.join(firsts.select("doc", "a", "b").hint("merge"), ["doc", "a", "b"]).dropDuplicates(["doc", "a", "b"])
+        own = stored(again.select(F.xxhash64("doc", "a", "b").alias("rep"), "doc", "text"))
+        names = own.select("rep", "doc")
+        texts = texts.join(often.select(F.col("doc").alias("rep")).hint("merge"), "rep", "left_anti").unionByName(own.select("rep", "text"))
+    texts = stored(texts)
     common_rows = texts.select("text").mapInArrow(_common(size, COMMON), "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "h").limit(MOST_COMMON).collect()
     common = (np.array([r.h for r in common_rows], np.int64).view(U64), np.array([r.n for r in common_rows], np.int64))
-    prefixes = texts.select("rep", "text").mapInArrow(_prefixes(size, percent, common), "h long, rep long, n int")
-    least = prefixes.groupBy("h").agg(F.min("rep").alias("at"), F.max("rep").alias("other")).filter("at <> other").select("h", "at")
-    places = prefixes.join(least.hint("merge"), "h").select("at", "rep", "n").distinct()
-    meet = stored(places)
-    sizes = meet.groupBy("at").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("k")).filter("k > 1")
-    spread = meet.join(sizes.hint("merge"), "at").withColumn("blocks", F.ceil(F.col("total") / BLOCK).cast("int"))
-    own = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
+    chars = texts.agg(F.sum(F.length("text"))).first()[0] or 0
+    buckets = max(64, min(1 << 20, chars // 16_000_000))
+    packed = texts.select("rep", "text").mapInArrow(_prefixes(size, percent, common, buckets), "bucket long, h binary, owner binary, sets binary")
+    met = packed.groupBy("bucket").applyInPandas(_places(percent), "at long, rep long, weight long")
+    met = stored(met.groupBy("at", "rep").agg(F.sum("weight").alias("w")).filter(F.col("w") >= SHARED).select("at", "rep"))
+    places = met.union(met.select("at", "at").distinct())
+    # Sizes of places, from each set's number of shingles.
+    counts = firsts.select(F.col("doc").alias("rep"), "n").groupBy("rep").agg(F.max("n").alias("n"))
+    sized = places.join(counts.hint("merge"), "rep", "left").withColumn("n", F.coalesce("n", F.lit(1000)))
+    sizes = sized.groupBy("at").agg(F.sum("n").alias("total"))
+    spread = places.join(sizes.hint("merge"), "at").withColumn("blocks", F.ceil(F.col("total") / BLOCK).cast("int"))
+    mine = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    pairs = spread.withColumn("own", own).withColumn("x", other).select(
+    pairs = spread.withColumn("own", mine).withColumn("x", other).select(
         "at", "rep", F.least("own", "x").alias("i"), F.greatest("own", "x").alias("j"), (F.col("own") > F.col("x")).alias("side")
     )
-    work = pairs.join(texts.select("rep", "text").hint("merge"), "rep").select("at", "i", "j", "rep", "side", "text")
+    work = pairs.join(texts.hint("merge"), "rep").select("at", "i", "j", "rep", "side", "text")
     found = work.groupBy("at", "i", "j").applyInPandas(_join(size, percent, common), "a long, b long")
-    docs_of = names.select("rep", "doc")
-    if several.isEmpty():
+    if not several:
         return found
-    left = found.join(docs_of, found["a"] == docs_of["rep"]).select(F.col("doc").alias("x"), "b")
-    return left.join(docs_of, left["b"] == docs_of["rep"]).select(F.col("x").alias("a"), F.col("doc").alias("b")).filter("a <> b").distinct()
+    for end in ("a", "b"):
+        renamed = names.select(F.col("rep").alias(end), F.col("doc").alias("real"))
+        found = found.join(renamed.hint("merge"), end, "left").withColumn(end, F.coalesce("real", end)).drop("real")
+    return found.filter("a <> b").distinct()
 
 
 def _with_text(size: int):
@@ -308,7 +384,7 @@ def _with_text(size: int):
         sign = _signatures(size)
         for batch in batches:
             (s,) = sign(iter([batch]))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), s.column(2), s.column(3)], names=["doc", "text", "sa", "sb"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), s.column(2), s.column(3)], names=["doc", "text", "a", "b"])
 
     return run
 
