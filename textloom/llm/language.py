@@ -139,8 +139,10 @@ def phrases(model: Model, texts: list[np.ndarray]) -> np.ndarray:
         c = grid[t, :m].astype(np.int32)
         to = model.step[state[:, :m] * n + c]
         ended = to < 0
+        fresh = model.root[first + c]  # the root itself for a symbol that the sample lacks: a phrase of its own
         count[:, :m] += ended
-        state[:, :m] = np.where(ended, model.root[first + c], to)
+        count[:, :m] += ended & (fresh == model.roots[:, None]) & (state[:, :m] != model.roots[:, None])
+        state[:, :m] = np.where(ended, fresh, to)
     count += state != model.roots[:, None]
     np.add.at(out, owner, count.T)
     return out
