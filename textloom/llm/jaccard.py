@@ -182,18 +182,21 @@ def tree_join(keys: list[int], sets: list[list[int]], percent: int, cross: list[
     return out
 
 
+def signature(shingles: np.ndarray) -> int:
+    """A 64-bit name of a set; 0 stands for the empty one."""
+    return xxhash.xxh3_64_intdigest(shingles.tobytes()) - (1 << 63) or 1 if len(shingles) else 0
+
+
 def _signatures(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles = Shingles(size)
         for batch in batches:
-            counts, a, b = [], [], []
+            counts, names = [], []
             for text in batch.column(1).cast(pa.binary()):
                 found = shingles.of(text.as_py())
-                digest = xxhash.xxh3_128_digest(found.tobytes())
                 counts.append(len(found))
-                a.append(int.from_bytes(digest[:8], "little", signed=True))
-                b.append(int.from_bytes(digest[8:], "little", signed=True))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["doc", "n", "a", "b"])
+                names.append(signature(found))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(names, pa.int64())], names=["doc", "n", "set"])
 
     return run
 
@@ -235,7 +238,7 @@ def _prefixes(size: int, percent: int, common: tuple, buckets: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles, order = Shingles(size), Order(*common)
-        held, owners, waiting = [], [], 0
+        held, owners, seen, waiting = [], [], set(), 0
 
         def flush() -> pa.RecordBatch:
             hashes = np.concatenate(held)
@@ -250,16 +253,19 @@ def _prefixes(size: int, percent: int, common: tuple, buckets: int):
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), *[pa.binary()] * 3), strict=True)], names=["bucket", "h", "owner", "sets"])
 
         for batch in batches:
-            for rep, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()), strict=True):
-                path = order.sort(shingles.of(text.as_py()))
-                if not len(path):
+            for text in batch.column(0).cast(pa.binary()):
+                found = shingles.of(text.as_py())
+                name = signature(found)
+                if not name or name in seen:
                     continue
+                seen.add(name)
+                path = order.sort(found)
                 held.append(path[: len(path) - least_overlap(len(path), percent) + SHARED])
-                owners.append((rep, len(path)))
+                owners.append((name, len(path)))
                 waiting += len(held[-1])
                 if waiting > 400_000:
                     yield flush()
-                    held, owners, waiting = [], [], 0
+                    held, owners, seen, waiting = [], [], set(), 0
         if held:
             yield flush()
 
@@ -277,8 +283,10 @@ def _places(percent: int):
         owner = np.concatenate([np.frombuffer(x, np.uint32).astype(np.int64) + b for x, b in zip(group["owner"], base, strict=False)])
         sets = np.concatenate(sets)
         rep, n = sets[owner, 0], sets[owner, 1]
-        order = np.lexsort((n, hashes))
+        order = np.lexsort((rep, n, hashes))
         hashes, rep, n = hashes[order], rep[order], n[order]
+        once = np.concatenate(([True], (hashes[1:] != hashes[:-1]) | (rep[1:] != rep[:-1])))  # sets that several tasks sent
+        hashes, rep, n = hashes[once], rep[once], n[once]
         begin = np.concatenate(([True], (hashes[1:] != hashes[:-1]) | (100 * n[:-1] < percent * n[1:])))
         start = np.flatnonzero(begin)
         size = np.diff(np.append(start, len(begin)))
@@ -295,10 +303,14 @@ def _places(percent: int):
 def _join(size: int, percent: int, common: tuple):
     def run(group: pd.DataFrame) -> pd.DataFrame:
         shingles, order = Shingles(size), Order(*common)
-        keys, sets, marks = [], [], []
+        keys, sets, marks, seen = [], [], [], set()
         for rep, text, side in zip(group["rep"], group["text"], group["side"], strict=True):
+            found = shingles.of(text.encode()) if text is not None else np.zeros(0, U64)
+            if int(rep) in seen or signature(found) != rep:  # another row of the same document
+                continue
+            seen.add(int(rep))
             keys.append(int(rep))
-            sets.append(order.sort(shingles.of(text.encode())).tolist())
+            sets.append(order.sort(found).tolist())
             marks.append(bool(side))
         one_block = group["i"].iloc[0] == group["j"].iloc[0]
         return pd.DataFrame(tree_join(keys, sets, percent, None if one_block else marks), columns=["a", "b"], dtype="int64")
@@ -322,73 +334,45 @@ def group_similar(docs: DataFrame, doc: str = "doc_id", text: str = "text", size
     pairs. A place with more than BLOCK shingles is split into blocks that are joined two by two.
     """
     rows = docs.select(F.col(f"`{doc}`").cast("long").alias("doc"), F.col(f"`{text}`").cast("string").alias("text"))
-    signed = stored(rows.mapInArrow(_signatures(size), "doc long, n long, a long, b long"))
+    signed = stored(rows.mapInArrow(_signatures(size), "doc long, n long, set long"))
     known = signed.filter("doc is not null and n > 0")
-    reps = known.groupBy("a", "b").agg(F.min("doc").alias("rep"))
-    same = known.join(reps.hint("merge"), ["a", "b"]).select(F.col("doc").alias("a"), F.col("rep").alias("b")).filter("a <> b").distinct()
-    # One row for each distinct set, with a text that has it.
-    firsts = known.groupBy("doc", "a", "b").agg(F.first("n").alias("n")).join(reps.hint("merge"), ["a", "b"]).filter("doc = rep").select("doc", "a", "b", "n")
-    links = similar_links(rows, firsts, size, percent)
+    reps = known.groupBy("set").agg(F.min("doc").alias("rep_doc"), F.max("n").alias("n"))
+    same = known.join(reps.hint("merge"), "set").select(F.col("doc").alias("a"), F.col("rep_doc").alias("b")).filter("a <> b").distinct()
+    links = similar_links(rows.filter("doc is not null"), reps, size, percent)
     roots = components(same.union(links))
     out = signed.select("doc", F.col("n").alias("n_shingles")).join(roots.hint("merge"), signed["doc"] == roots["node"], "left")
     return out.select("doc", "n_shingles", F.coalesce("root", "doc").alias("component_id"))
 
 
-def similar_links(rows: DataFrame, firsts: DataFrame, size: int, percent: int) -> DataFrame:
-    """Links (a, b) that span the groups of the distinct sets: firsts has (doc, a, b, n) for each of them.
+def similar_links(rows: DataFrame, reps: DataFrame, size: int, percent: int) -> DataFrame:
+    """Links (a, b) of documents that span the groups of distinct sets: reps has (set, rep_doc, n) for each set.
 
-    A doc with several rows may stand for several sets; each then has its own key while sets are joined.
+    Sets are named by signatures while they meet, so no text moves before it is known which sets may link; then one
+    document's text stands for each of those.
     """
-    known = rows.filter("doc is not null")
-    often = known.groupBy("doc").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select("doc")
-    several = not often.isEmpty()
-    texts = known.join(firsts.select("doc").distinct().hint("merge"), "doc", "left_semi").select(F.col("doc").alias("rep"), "text")
-    names = None
-    if several:
-        again = known.join(often.hint("merge"), "doc", "left_semi").mapInArrow(_with_text(size), "doc long, text string, a long, b long")
-        again = again.join(firsts.select("doc", "a", "b").hint("merge"), ["doc", "a", "b"]).dropDuplicates(["doc", "a", "b"])
-        own = stored(again.select(F.xxhash64("doc", "a", "b").alias("rep"), "doc", "text"))
-        names = own.select("rep", "doc")
-        texts = texts.join(often.select(F.col("doc").alias("rep")).hint("merge"), "rep", "left_anti").unionByName(own.select("rep", "text"))
-    texts = stored(texts)
-    common_rows = texts.select("text").mapInArrow(_common(size, COMMON), "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "h").limit(MOST_COMMON).collect()
+    common_rows = rows.select("text").mapInArrow(_common(size, COMMON), "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "h").limit(MOST_COMMON).collect()
     common = (np.array([r.h for r in common_rows], np.int64).view(U64), np.array([r.n for r in common_rows], np.int64))
-    chars = texts.agg(F.sum(F.length("text"))).first()[0] or 0
+    chars = rows.agg(F.sum(F.length("text"))).first()[0] or 0
     buckets = max(64, min(1 << 20, chars // 16_000_000))
-    packed = texts.select("rep", "text").mapInArrow(_prefixes(size, percent, common, buckets), "bucket long, h binary, owner binary, sets binary")
+    packed = rows.select("text").mapInArrow(_prefixes(size, percent, common, buckets), "bucket long, h binary, owner binary, sets binary")
     met = packed.groupBy("bucket").applyInPandas(_places(percent), "at long, rep long, weight long")
     met = stored(met.groupBy("at", "rep").agg(F.sum("weight").alias("w")).filter(F.col("w") >= SHARED).select("at", "rep"))
     places = met.union(met.select("at", "at").distinct())
-    # Sizes of places, from each set's number of shingles.
-    counts = firsts.select(F.col("doc").alias("rep"), "n").groupBy("rep").agg(F.max("n").alias("n"))
-    sized = places.join(counts.hint("merge"), "rep", "left").withColumn("n", F.coalesce("n", F.lit(1000)))
+    sized = places.join(reps.withColumnRenamed("set", "rep").hint("merge"), "rep")
     sizes = sized.groupBy("at").agg(F.sum("n").alias("total"))
-    spread = places.join(sizes.hint("merge"), "at").withColumn("blocks", F.ceil(F.col("total") / BLOCK).cast("int"))
+    spread = sized.join(sizes.hint("merge"), "at").withColumn("blocks", F.ceil(F.col("total") / BLOCK).cast("int"))
     mine = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     pairs = spread.withColumn("own", mine).withColumn("x", other).select(
-        "at", "rep", F.least("own", "x").alias("i"), F.greatest("own", "x").alias("j"), (F.col("own") > F.col("x")).alias("side")
+        "at", "rep", F.col("rep_doc").alias("doc"), F.least("own", "x").alias("i"), F.greatest("own", "x").alias("j"), (F.col("own") > F.col("x")).alias("side")
     )
-    work = pairs.join(texts.hint("merge"), "rep").select("at", "i", "j", "rep", "side", "text")
+    work = pairs.join(rows.hint("merge"), "doc").select("at", "i", "j", "rep", "side", "text")
     found = work.groupBy("at", "i", "j").applyInPandas(_join(size, percent, common), "a long, b long")
-    if not several:
-        return found
     for end in ("a", "b"):
-        renamed = names.select(F.col("rep").alias(end), F.col("doc").alias("real"))
-        found = found.join(renamed.hint("merge"), end, "left").withColumn(end, F.coalesce("real", end)).drop("real")
+        found = found.join(reps.select(F.col("set").alias(end), "rep_doc").hint("merge"), end).drop(end).withColumnRenamed("rep_doc", end)
     return found.filter("a <> b").distinct()
 
 
-def _with_text(size: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sign = _signatures(size)
-        for batch in batches:
-            (s,) = sign(iter([batch]))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), s.column(2), s.column(3)], names=["doc", "text", "a", "b"])
-
-    return run
-
-
 def op6_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The group of every document under links of Jaccard 0.85 over 4-word shingles."""
     groups = group_similar(table(spark, sf_dir, "documents"))
