@@ -174,8 +174,12 @@ def sample(train: DataFrame, text: str, lang: str, most_docs: int) -> dict[str,
     """
     rows = train.select(F.col(f"`{text}`").alias("text"), F.col(f"`{lang}`").cast("string").alias("lang")).filter("text is not null and lang is not null and text rlike '\\\\p{L}'")
     hashed = rows.withColumn("h", F.xxhash64("lang", "text"))
+    distinct = hashed.groupBy("lang", "h").agg(F.lit(1).alias("one"))
+    # A language of most rows is ranked in 64 parts first, of which each hands on most_docs rows at most.
+    by_part = Window.partitionBy("lang", F.pmod("h", F.lit(64))).orderBy("h")
     by_hash = Window.partitionBy("lang").orderBy("h")
-    chosen = hashed.groupBy("lang", "h").agg(F.lit(1).alias("one")).withColumn("n", F.row_number().over(by_hash)).filter(F.col("n") <= most_docs)
+    few = distinct.withColumn("n", F.row_number().over(by_part)).filter(F.col("n") <= most_docs)
+    chosen = few.withColumn("n", F.row_number().over(by_hash)).filter(F.col("n") <= most_docs)
     picks = [r.h for r in chosen.select("h").collect()]  # bounded: most_docs for each language
     texts = hashed.filter(F.col("h").isin(picks)).dropDuplicates(["lang", "h"]).orderBy("lang", "h").select("lang", "text").collect()
     out: dict[str, list[str]] = {}
