@@ -42,6 +42,28 @@ def probe_keys(line: Column, length: Column, edits: int) -> Column:
     return F.array_distinct(F.array_compact(F.array(*found)))
 
 
+#: Classes of characters whose counts tell most candidates apart before their lines are read.
+CLASSES = ("[eE]", "[aA]", "[oOuU]", "[iI]", "[tT]", "[nN]", "[rRsS]", "[dDhHlL]")
+
+
+def tally(line: Column) -> Column:
+    """The counts of the eight classes, each modulo 16, in one integer."""
+    out = F.lit(0)
+    for k, c in enumerate(CLASSES):
+        out = out.bitwiseOR(F.shiftleft((F.regexp_count(line, F.lit(c)) % 16).cast("int"), 4 * k))
+    return out
+
+
+def tallies_near(a: Column, b: Column, edits: int) -> Column:
+    """An edit moves the counts by two at most, so lines within `edits` edits are apart by twice as much at most."""
+    apart = F.lit(0)
+    for k in range(len(CLASSES)):
+        nibble = lambda x: F.shiftrightunsigned(x, 4 * k).bitwiseAND(F.lit(15))  # noqa: E731, B023
+        d = F.abs(nibble(a) - nibble(b))
+        apart = apart + F.least(d, 16 - d)
+    return apart <= 2 * edits
+
+
 def lines_of(docs: DataFrame, doc: str, text: str) -> DataFrame:
     """(doc, version, at, line, h): the lines that hold more than white space; h identifies a line."""
     rows = docs.select(F.coalesce(F.col(f"`{doc}`").cast("long"), F.lit(-(1 << 63))).alias("doc"), F.col(f"`{text}`").cast("string").alias("text"))
@@ -68,9 +90,10 @@ def removed_lines(docs: DataFrame, doc: str = "doc_id", text: str = "text", edit
     distinct = lines.groupBy("h").agg(F.min(F.struct("doc", "version", "at", "line")).alias("m"))
     first = lambda m: F.struct(*(F.col(f"{m}.{c}").alias(c) for c in ("doc", "version", "at")))
     long = distinct.withColumn("n", F.length("m.line")).filter(F.col("n") >= least)
-    kept = long.select("h", F.explode(index_keys(F.col("m.line"), F.col("n"), edits)).alias("k"))
-    asked = long.select(F.col("h").alias("g"), F.explode(probe_keys(F.col("m.line"), F.col("n"), edits)).alias("k"))
-    pairs = kept.join(asked.hint("merge"), "k").filter("h <> g").select(F.least("h", "g").alias("h"), F.greatest("h", "g").alias("g")).distinct()
+    kept = long.select("h", tally(F.col("m.line")).alias("s"), F.explode(index_keys(F.col("m.line"), F.col("n"), edits)).alias("k"))
+    asked = long.select(F.col("h").alias("g"), tally(F.col("m.line")).alias("t"), F.explode(probe_keys(F.col("m.line"), F.col("n"), edits)).alias("k"))
+    near_enough = (kept["k"] == asked["k"]) & (F.col("h") != F.col("g")) & tallies_near(F.col("s"), F.col("t"), edits)
+    pairs = kept.join(asked.hint("merge"), near_enough).select(F.least("h", "g").alias("h"), F.greatest("h", "g").alias("g")).distinct()
     one = pairs.join(distinct.hint("merge"), "h")
     other = distinct.select(F.col("h").alias("g"), F.col("m").alias("w"))
     both = one.join(other.hint("merge"), "g").filter(F.levenshtein("m.line", "w.line", edits) >= 0)
