@@ -56,7 +56,7 @@ def markup_to_text(html: Column) -> Column:
     out = html
     for pattern, new in steps:
         out = F.regexp_replace(out, pattern, new)
-    for entity, char in (("&nbsp;", " "), ("&copy;", "©"), ("&middot;", "·"), ("&quot;", '"'), ("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&")):
+    for entity, char in (("&nbsp;", "\xa0"), ("&copy;", "©"), ("&middot;", "·"), ("&quot;", '"'), ("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&")):
         out = F.replace(out, F.lit(entity), F.lit(char))
     return out
 
@@ -67,7 +67,7 @@ def strip(text: Column) -> Column:
 
 def tidy_line(line: Column) -> Column:
     """No-break spaces to spaces, runs of horizontal space to one, none at the ends."""
-    return strip(F.regexp_replace(F.translate(line, " ", " "), "[ \\t\\f\\x0B]+", " "))
+    return strip(F.regexp_replace(F.translate(line, "\xa0", " "), "[ \\t\\f\\x0B]+", " "))
 
 
 def plain_punctuation(text: Column) -> Column:
@@ -97,7 +97,7 @@ def form_label(stem: Column) -> Column:
 
 def padded_cik(raw: Column) -> Column:
     """Ten digits; null where it isn't a number."""
-    return F.lpad(F.expr("1").cast("string") if raw is None else F.ltrim(raw, F.lit("CIK")).try_cast("bigint").cast("string"), 10, "0")
+    return F.lpad(F.ltrim(raw, F.lit("CIK")).try_cast("bigint").cast("string"), 10, "0")
 
 
 def document_url(cik: Column, accession: Column, primary: Column) -> Column:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from textloom.functions import patterns, text
 from textloom.operators import choose, html, lines, profile, split, tokens
 
-from .inputs import FACTS_SQL, INDEX_SQL, JUNKY_SQL, LINES_SQL, ROWS_SQL, STEMS_SQL, facts, filing_lines, index_lines, junky, stems, table
+from .inputs import FACTS_SQL, JUNKY_SQL, LINES_SQL, ROWS_SQL, STEMS_SQL, facts, filing_lines, index_lines, junky, stems, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
