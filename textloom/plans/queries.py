@@ -120,7 +120,7 @@ def normalize_punctuation(spark, d):
 
 @query(rf"select doc_id, pos, {TIDY} as line from (select doc_id, unnest(string_split(t, chr(10))) as raw, unnest(range(0, len(string_split(t, chr(10))))) as pos from (select doc_id, replace(text, ' ', chr(160) || chr(9)) as t from documents))")
 def tidy_lines(spark, d):
-    docs = table(spark, d, "documents").select("doc_id", F.replace("text", F.lit(" "), F.lit(" \t")).alias("text"))
+    docs = table(spark, d, "documents").select("doc_id", F.replace("text", F.lit(" "), F.lit("\xa0\t")).alias("text"))
     return lines.explode_lines(docs).withColumn("pos", F.col("pos").cast("long"))
 
 
