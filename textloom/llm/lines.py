@@ -50,7 +50,7 @@ def tally(line: Column) -> Column:
     """The counts of the eight classes, each modulo 16, in one integer."""
     out = F.lit(0)
     for k, c in enumerate(CLASSES):
-        out = out.bitwiseOR(F.shiftleft((F.regexp_count(line, F.lit(c)) % 16).cast("int"), 4 * k))
+        out = out.bitwiseOR(F.shiftleft(((F.length(line) - F.length(F.regexp_replace(line, c, ""))) % 16).cast("int"), 4 * k))
     return out
 
 
@@ -89,9 +89,10 @@ def removed_lines(docs: DataFrame, doc: str = "doc_id", text: str = "text", edit
     # One value holds place and line, so that every use below reads the same shuffle of the lines.
     distinct = lines.groupBy("h").agg(F.min(F.struct("doc", "version", "at", "line")).alias("m"))
     first = lambda m: F.struct(*(F.col(f"{m}.{c}").alias(c) for c in ("doc", "version", "at")))
-    long = distinct.withColumn("n", F.length("m.line")).filter(F.col("n") >= least)
-    kept = long.select("h", tally(F.col("m.line")).alias("s"), F.explode(index_keys(F.col("m.line"), F.col("n"), edits)).alias("k"))
-    asked = long.select(F.col("h").alias("g"), tally(F.col("m.line")).alias("t"), F.explode(probe_keys(F.col("m.line"), F.col("n"), edits)).alias("k"))
+    # Tallies are made before the explosion, once a line.
+    long = distinct.withColumn("n", F.length("m.line")).filter(F.col("n") >= least).withColumn("tally", tally(F.col("m.line")))
+    kept = long.select("h", F.col("tally").alias("s"), F.explode(index_keys(F.col("m.line"), F.col("n"), edits)).alias("k"))
+    asked = long.select(F.col("h").alias("g"), F.col("tally").alias("t"), F.explode(probe_keys(F.col("m.line"), F.col("n"), edits)).alias("k"))
     near_enough = (kept["k"] == asked["k"]) & (F.col("h") != F.col("g")) & tallies_near(F.col("s"), F.col("t"), edits)
     pairs = kept.join(asked.hint("merge"), near_enough).select(F.least("h", "g").alias("h"), F.greatest("h", "g").alias("g")).distinct()
     one = pairs.join(distinct.hint("merge"), "h")
