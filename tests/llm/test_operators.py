@@ -328,6 +328,24 @@ def test_katz(spark, odd, monkeypatch):
     assert all(r.score == 0 for r in katz.score_texts(docs_of(spark, ["", None]), empty(spark)).collect())
 
 
+def test_katz_every_word_has_pairs(spark, odd, monkeypatch):
+    """Few words and pairs are known everywhere; all others have their own pairs nonetheless."""
+    monkeypatch.setattr(katz, "KNOWN_WORDS", 40)
+    monkeypatch.setattr(katz, "KNOWN_PAIRS", 30)
+    texts = [*odd, *(t and t[::2] for t in odd), odd[5], "alpha1 never seen alpha1 beta2 seen"]
+    docs = docs_of(spark, texts)
+    held = [zlib.crc32(str(i).encode()) % 7 == 2 or i == len(texts) - 1 for i in range(len(texts))]
+    want = brute_katz(texts, [not h for h in held], 1 << 60)
+    assert want != brute_katz(texts, [not h for h in held], 40)
+    train = docs.filter((F.crc32(F.col("doc_id").cast("string")) % 7 != 2) & (F.col("doc_id") < len(texts) - 1))
+    rows = katz.score_texts(docs, train).collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        n, known, total, base, score = want[r.doc]
+        assert (r.n_tokens, r.n_known, r.train_tokens) == (n, known, total)
+        assert r.base_score == pytest.approx(base) and r.score == pytest.approx(score)
+
+
 def test_quality(spark, odd):
     texts = [*odd, "# $ x\nsame line\nsame line\n\n\n|", "w1 w2 w3 w4 w5 w1 w2 w3 w4 w5 z " * 2]
     docs = docs_of(spark, texts)
