@@ -5,7 +5,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from textloom.functions import patterns, text
-from textloom.operators import choose, html, lines, tokens
+from textloom.operators import choose, html, lines, split, tokens
+from textloom.plans import queries
 from textloom.sources import http
 
 
@@ -124,6 +125,20 @@ def test_model_round_trip(spark, tmp_path):
     assert again.merges == model.merges and meta == {"name": "m", "pretokenizer": "gpt2"}
 
 
+def test_list_digest_sees_every_name(spark):
+    digest = lambda ids: tuple(split.list_digest(spark.createDataFrame([(i,) for i in ids], "doc_id long"), "doc_id").first())
+    ids = [*range(0, 3000, 7), 5000]
+    assert digest(ids) == digest(ids[::-1]) and digest(ids)[0] == len(ids)
+    assert len({digest(ids), digest(ids[1:]), digest(ids[:-1]), digest([i for i in ids if i != 1400]), digest([*ids, 999])}) == 5
+    assert digest([])[0] == 0
+
+
+def test_train_list_is_whole(spark):
+    sf = "/root/testdata/sf0.001"
+    train = queries.train_eval_split(spark, sf).filter("split = 'train'").count()
+    assert queries.train_list_digest(spark, sf).first()["names"] == train
+
+
 def test_years_and_requests():
     assert choose.pad_years("2013-2015") == [2013, 2014, 2015] and choose.pad_years("2015,2013") == [2013, 2015]
     now, slept = [0.0], []

@@ -44,3 +44,14 @@ def subsample(docs: DataFrame, key: str, most: int, seed: int = 42) -> DataFrame
     """All documents if they are no more, else those of the `most` smallest md5(seed:key)."""
     order = F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")))
     return docs.withColumn("h", order).orderBy("h", key).limit(most).drop("h")
+
+
+def list_digest(names: DataFrame, key: str, block: int = 1000) -> DataFrame:
+    """One row (names, digest) for a whole list of numbers: the SHA-256 of the digests of its blocks, in order.
+
+    A block holds the names of `block` numbers in sequence, sorted, one a line; only digests meet in one place.
+    """
+    lines = F.array_join(F.array_sort(F.collect_list(key)).cast("array<string>"), "\n")
+    blocks = names.groupBy(F.floor(F.col(key) / block).alias("b")).agg(F.count(F.lit(1)).alias("n"), F.sha2(lines, 256).alias("h"))
+    of_blocks = F.transform(F.array_sort(F.collect_list(F.struct("b", "h"))), lambda x: x["h"])
+    return blocks.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("names"), F.sha2(F.array_join(of_blocks, "\n"), 256).alias("digest"))
