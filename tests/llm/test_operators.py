@@ -9,10 +9,12 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow.parquet as pq
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
 
+from oracle import same
 from textloom.llm import bpe, chat, components, decontaminate, jaccard, katz, language, lines, quality, secrets, substrings
 
 ROWS = "doc_id long, text string, lang string, source string, n_chars long, ids string, score string, h string, n_words string"
@@ -402,3 +404,16 @@ def test_chat(spark, monkeypatch):
     assert {k: sum(len(t) for _, t in v) for k, v in parts.items()} == {k: len(r.rendered) for k, r in whole.items()}
     assert [p for p, _ in sorted(parts[9, "ann"])] == list(range(6))
     assert chat.perspectives(df.limit(0)).count() == 0
+
+
+def test_chat_order_holds_at_every_size(spark, monkeypatch, tmp_path):
+    """Equal and null turn numbers in conversations of many parts, against the SQL of parts of seven turns."""
+    rng = random.Random(8)
+    turns = [(k % 3, rng.choice([None, 0, 1, 2]), rng.choice(["ann", "bob", "zoe", "system", None]), rng.choice([None, "", "x", "y", f"t{k}"])) for k in range(200)]
+    schema = "conv_id int, turn int, role string, text string"
+    spark.createDataFrame(turns, schema).write.parquet(f"{tmp_path}/rows")
+    pq.write_table(pq.read_table(f"{tmp_path}/rows"), f"{tmp_path}/conversations.parquet")
+    monkeypatch.setattr(chat, "PART_TURNS", 7)
+    same(spark, chat.op10_chat, chat.OP10_SQL.replace("1024", "7"), str(tmp_path))
+    told = lambda rows: sorted((r.perspective, r.part, r.rendered) for r in chat.perspectives(spark.createDataFrame(rows, schema)).collect())
+    assert told([(None, *t[1:]) for t in turns]) == told([(5, *t[1:]) for t in turns])

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import stored, table
 
 #: Turns of a conversation that one row renders at most; longer ones go on in further parts.
 PART_TURNS = 1024
@@ -16,28 +16,24 @@ OPEN, CLOSE = "<|im_start|>", "<|im_end|>\n"
 def numbered(turns: DataFrame) -> DataFrame:
     """turns with `nth`, the place of a turn in its conversation's order, without gathering a conversation in one task.
 
-    Up to PART_TURNS turns, a conversation stands by turn, speaker and text; a longer one, within equal turn
-    numbers, by a hash of both.
+    A conversation of any size stands by turn, role and text, nulls first. One of more than PART_TURNS turns is
+    counted by distinct turn, dealt out by ranges of that order, and numbered from the sums of the ranges before.
     """
-    keys = ["conv", "turn", "speaker", "body"]
+    keys = ["conv", "turn", "role", "body"]
     sizes = turns.groupBy("conv").agg(F.count(F.lit(1)).alias("size")).withColumnRenamed("conv", "c")
     both = turns.join(sizes.hint("merge"), F.col("conv").eqNullSafe(F.col("c"))).drop("c")
-    by_conv = Window.partitionBy("conv").orderBy("turn", "speaker", "body")
-    small = both.filter(F.col("size") <= PART_TURNS).withColumn("nth", F.row_number().over(by_conv) - 1).select(*keys, "nth")
-    # Of a long conversation only counts are summed up: by block of turn numbers, then by turn and hash inside a block.
-    long = both.filter(F.col("size") > PART_TURNS)
-    long = long.withColumns({"block": F.coalesce(F.floor(F.col("turn") / 4096).cast("long"), F.lit(-(1 << 63))), "cell": F.xxhash64("speaker", "body")})
-    counts = long.groupBy("conv", "block", "turn", "cell").agg(F.count(F.lit(1)).alias("n"))
-    blocks = counts.groupBy("conv", "block").agg(F.sum("n").alias("n"))
+    by_conv = Window.partitionBy("conv").orderBy("turn", "role", "body")
+    small = both.filter(F.col("size") <= PART_TURNS).withColumn("nth", (F.row_number().over(by_conv) - 1).cast("long")).select(*keys, "nth")
+    cells = both.filter(F.col("size") > PART_TURNS).groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    # Stored, so that every use sees the same ranges.
+    cells = stored(cells.repartitionByRange(*keys).withColumn("range", F.spark_partition_id()))
     earlier = lambda w: F.coalesce(F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    blocks = blocks.select(F.col("conv").alias("bc"), F.col("block").alias("bb"), earlier(Window.partitionBy("conv").orderBy("block")).alias("before_block"))
-    cells = counts.withColumn("before", earlier(Window.partitionBy("conv", "block").orderBy("turn", "cell")))
-    cells = cells.join(blocks.hint("merge"), F.col("conv").eqNullSafe(F.col("bc")) & (F.col("block") == F.col("bb")))
-    cells = cells.select(F.col("conv").alias("cc"), F.col("turn").alias("ct"), F.col("cell").alias("ch"), (F.col("before_block") + F.col("before")).alias("before"))
-    same = F.col("conv").eqNullSafe(F.col("cc")) & F.col("turn").eqNullSafe(F.col("ct")) & (F.col("cell") == F.col("ch"))
-    within = Window.partitionBy("conv", "turn", "cell").orderBy("speaker", "body")
-    long = long.join(cells.hint("merge"), same).withColumn("nth", F.col("before") + F.row_number().over(within) - 1).select(*keys, "nth")
-    return small.withColumn("nth", F.col("nth").cast("long")).unionByName(long.withColumn("nth", F.col("nth").cast("long")))
+    ranges = cells.groupBy("conv", "range").agg(F.sum("n").alias("n"))
+    ranges = ranges.select(F.col("conv").alias("rc"), F.col("range").alias("rr"), earlier(Window.partitionBy("conv").orderBy("range")).alias("before_range"))
+    cells = cells.withColumn("before", earlier(Window.partitionBy("conv", "range").orderBy("turn", "role", "body")))
+    cells = cells.join(ranges.hint("merge"), F.col("conv").eqNullSafe(F.col("rc")) & (F.col("range") == F.col("rr")))
+    first = F.col("before_range") + F.col("before")
+    return small.unionByName(cells.select(*keys, F.explode(F.sequence(first, first + F.col("n") - 1)).alias("nth")))
 
 
 def perspectives(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
@@ -53,12 +49,13 @@ def perspectives(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", ro
     an empty one; a null conversation id is one conversation; other columns don't matter.
     """
     rows = turns.select(
-        F.col(f"`{conv}`").alias("conv"), F.col(f"`{turn}`").alias("turn"), F.coalesce(F.col(f"`{role}`").cast("string"), F.lit("unknown")).alias("speaker"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("body")
+        F.col(f"`{conv}`").alias("conv"), F.col(f"`{turn}`").alias("turn"), F.col(f"`{role}`").cast("string").alias("role"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("body")
     )
-    people = rows.filter("speaker <> 'system'").select("conv", "speaker").distinct().withColumnRenamed("speaker", "perspective")
+    speaker = F.coalesce("role", F.lit("unknown")).alias("speaker")
+    people = rows.select("conv", speaker).filter("speaker <> 'system'").distinct().withColumnRenamed("speaker", "perspective")
     ordered = numbered(rows).withColumn("part", F.floor(F.col("nth") / PART_TURNS))
     # PART_TURNS turns at most in one group.
-    parts = ordered.groupBy("conv", "part").agg(F.array_sort(F.collect_list(F.struct("nth", "speaker", "body"))).alias("turns"))
+    parts = ordered.groupBy("conv", "part").agg(F.array_sort(F.collect_list(F.struct("nth", speaker, "body"))).alias("turns"))
     seen = parts.withColumnRenamed("conv", "c").join(people.hint("merge"), F.col("c").eqNullSafe(F.col("conv")))
     header = lambda t: F.when(t["speaker"] == "system", F.lit("system")).when(t["speaker"] == F.col("perspective"), F.lit("assistant")).otherwise(
         F.concat(F.lit("user name="), t["speaker"])
