@@ -139,6 +139,23 @@ def test_train_list_is_whole(spark):
     assert queries.train_list_digest(spark, sf).first()["names"] == train
 
 
+def test_every_pattern_is_counted_in_tokens(spark):
+    import regex
+
+    body = "$1,234.56 4.25% 150bps 88160R101 Rule 206(4)-1 §251(h) 1,234,567 RevenueFromContractWith $7"
+    rows = spark.createDataFrame([(body,)], "x string").select(F.posexplode(patterns.matches(F.col("x"))).alias("i", "m"))
+    sample = tokens.pattern_sample(rows.select("m.pattern", "m.found", F.col("i").cast("string").alias("key")))
+    model = tokens.train([(" the", 5), ("12", 3), (" $", 2)], 300)
+    got = {(r.pattern, r.tokenizer): r for r in tokens.pattern_tokens(sample, {"gpt2": (model, "gpt2"), "line": (model, "line")}).collect()}
+    assert {p for p, _ in got} == set(patterns.COSTS) and len(got) == 2 * len(patterns.COSTS)
+    for (name, mode), r in got.items():
+        found = [" " + m for m in re.findall(patterns.COSTS[name], body, re.I if name in patterns.ANY_CASE else 0)]
+        n = [sum(len(model.encode(c.encode())) for c in regex.findall(tokens.CHUNKS[mode], s)) for s in found]
+        assert r.instances == len(n) and r.mean_tokens == pytest.approx(sum(n) / len(n), abs=0.006)
+        assert r.mean_bytes == pytest.approx(sum(len(s.encode()) for s in found) / len(n))
+    assert queries.QUERIES["pattern_token_costs"](spark, "/root/testdata/sf0.001").select("pattern").distinct().count() == len(patterns.COSTS)
+
+
 def test_years_and_requests():
     assert choose.pad_years("2013-2015") == [2013, 2014, 2015] and choose.pad_years("2015,2013") == [2013, 2015]
     now, slept = [0.0], []

@@ -40,5 +40,7 @@ def counts(text: Column, patterns: dict[str, str] = CENSUS) -> list[Column]:
 
 def matches(text: Column, patterns: dict[str, str] = COSTS) -> Column:
     """array<struct<pattern, found>> of all matches."""
-    each = [F.transform(F.regexp_extract_all(text, F.lit(java(n, p)), F.lit(0)), lambda m, n=n: F.struct(F.lit(n).alias("pattern"), m.alias("found"))) for n, p in patterns.items()]
+    # A function of its own for each name: transform gives a second parameter the index.
+    named = lambda n: lambda m: F.struct(F.lit(n).alias("pattern"), m.alias("found"))
+    each = [F.transform(F.regexp_extract_all(text, F.lit(java(n, p)), F.lit(0)), named(n)) for n, p in patterns.items()]
     return F.concat(*each)

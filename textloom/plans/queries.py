@@ -498,6 +498,15 @@ def pattern_costs(spark, d):
     return costs.select("pattern", "instances", (F.col("b") / F.col("n")).alias("mean_bytes"), (F.col("c") / F.col("n")).alias("mean_chars"))
 
 
+@query()
+def pattern_token_costs(spark, d):
+    """Mean tokens of the matches of every pattern, for each model; pattern_costs has the sizes of two patterns alone."""
+    found = filing_lines(spark, d).select("l_orderkey", "l_linenumber", F.posexplode(patterns.matches(F.col("line"))).alias("i", "m"))
+    found = found.select("m.pattern", "m.found", F.concat_ws(":", *(F.col(c).cast("string") for c in ("l_orderkey", "l_linenumber", "i"))).alias("key"))
+    models = {mode: (_model(spark, d, mode=mode), mode) for mode in tokens.CHUNKS}
+    return tokens.pattern_tokens(tokens.pattern_sample(found), models)
+
+
 @query()
 def incremental_cleaning(spark, d):
     """The documents cleaned by a stream over a folder, run until nothing is new."""
