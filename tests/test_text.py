@@ -156,6 +156,14 @@ def test_every_pattern_is_counted_in_tokens(spark):
     assert queries.QUERIES["pattern_token_costs"](spark, "/root/testdata/sf0.001").select("pattern").distinct().count() == len(patterns.COSTS)
 
 
+def test_training_takes_the_train_split(spark):
+    sf = "/root/testdata/sf0.001"
+    train = {r.doc_id for r in queries.train_eval_split(spark, sf).filter("split = 'train'").collect()}
+    docs = spark.read.parquet(f"{sf}/documents.parquet").filter(F.col("doc_id").isin(train))
+    want = tokens.train_on(docs, 600).merges
+    assert [(r.left, r.right) for r in queries.bpe_train(spark, sf).orderBy("rank").collect()] == want
+
+
 def test_years_and_requests():
     assert choose.pad_years("2013-2015") == [2013, 2014, 2015] and choose.pad_years("2015,2013") == [2013, 2015]
     now, slept = [0.0], []

@@ -138,8 +138,7 @@ def train(counted: list[tuple[str, int]], vocab_size: int, min_frequency: int =
 def train_on(docs: DataFrame, vocab_size: int = 65536, min_frequency: int = 2, mode: str = "gpt2", text: str = "text") -> Merges:
     """Chunks are counted by Spark; one fold over the distinct chunks, on the driver, learns the merges.
 
-    A vocabulary is learned by one sequential loop, so the distinct chunks must fit the driver: give a sample
-    (operators.split.subsample) of a corpus whose distinct chunks don't.
+    A vocabulary is learned by one sequential loop, so the distinct chunks must fit the driver; the README has figures.
     """
     counted = [(r.chunk, r.n) for r in chunk_counts(docs, mode, text).toLocalIterator()]
     counted.sort()

@@ -427,8 +427,14 @@ def bpe_pair_counts(spark, d):
     return tokens.pair_counts(tokens.chunk_counts(table(spark, d, "documents"), "digits"))
 
 
+def _train_texts(spark, d):
+    """The train split of documents, all of it."""
+    train = split.split(_docs_with_strata(spark, d), "doc_id", "form", "year").filter("split = 'train'")
+    return table(spark, d, "documents").join(train.select("doc_id"), "doc_id", "left_semi")
+
+
 def _model(spark, d, size=600, mode="gpt2"):
-    return tokens.train_on(table(spark, d, "benchmark"), size, 2, mode)
+    return tokens.train_on(_train_texts(spark, d), size, 2, mode)
 
 
 @query()
@@ -449,7 +455,7 @@ def bpe_token_counts(spark, d):
 
 @query()
 def bpe_sweep(spark, d):
-    models = tokens.sweep(table(spark, d, "benchmark"), [300, 400], ["gpt2", "digits", "line"])
+    models = tokens.sweep(_train_texts(spark, d), [300, 400], ["gpt2", "digits", "line"])
     return spark.createDataFrame([(n, len(m.bytes), len(m.merges)) for n, m in models.items()], "name string, vocab_size int, merges int")
 
 
