@@ -15,7 +15,7 @@ import tiktoken
 from pyspark.sql import functions as F
 
 from oracle import same
-from textloom.llm import bpe, chat, components, decontaminate, jaccard, katz, language, lines, quality, secrets, substrings
+from textloom.llm import bpe, chat, components, decontaminate, jaccard, katz, language, lines, quality, registry, secrets, substrings
 
 ROWS = "doc_id long, text string, lang string, source string, n_chars long, ids string, score string, h string, n_words string"
 
@@ -417,3 +417,16 @@ def test_chat_order_holds_at_every_size(spark, monkeypatch, tmp_path):
     same(spark, chat.op10_chat, chat.OP10_SQL.replace("1024", "7"), str(tmp_path))
     told = lambda rows: sorted((r.perspective, r.part, r.rendered) for r in chat.perspectives(spark.createDataFrame(rows, schema)).collect())
     assert told([(None, *t[1:]) for t in turns]) == told([(5, *t[1:]) for t in turns])
+
+
+def test_katz_query(spark, odd, tmp_path):
+    """The registered query against brute force; what is registered as SQL is text."""
+    assert all(isinstance(sql, str) for sql in registry.ORACLES.values())
+    docs_of(spark, odd).write.parquet(f"{tmp_path}/documents.parquet")
+    held = [zlib.crc32(str(i).encode()) % 7 == 2 for i in range(len(odd))]
+    want = brute_katz(odd, [not h for h in held], 1 << 60)
+    rows = registry.QUERIES["op5_katz"](spark, str(tmp_path)).collect()
+    assert len(rows) == len(odd)
+    for r in rows:
+        assert (r.n_tokens, r.n_known, r.train_tokens) == want[r.doc_id][:3] and r.held_out == held[r.doc_id]
+        assert (r.base_score, r.score) == pytest.approx(want[r.doc_id][3:])

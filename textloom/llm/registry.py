@@ -24,7 +24,6 @@ ORACLES: dict[str, str] = {
     "op1_lines": lines.OP1_SQL,
     "op10_chat": chat.OP10_SQL,
     "op4_decontaminate": decontaminate.OP4_SQL,
-    "op5_katz": katz.op5_katz,
     "op6_jaccard": jaccard.OP6_SQL,
     "op8_substrings": substrings.OP8_SQL,
 }
