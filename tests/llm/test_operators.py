@@ -196,6 +196,58 @@ def edit(a, b):
     return row[-1]
 
 
+def edits_apart(a: str, b: str, most: int) -> bool:
+    before = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        now = [i]
+        for j, y in enumerate(b, 1):
+            now.append(min(before[j] + 1, now[-1] + 1, before[j - 1] + (x != y)))
+        if min(now) > most:
+            return False
+        before = now
+    return before[-1] <= most
+
+
+def test_lines_of_one_original(spark):
+    """A large group of near copies, most of them too far apart: every earlier line counts, as in brute force."""
+    rng = random.Random(5)
+    base = "the quick brown fox jumps over the lazy dög and runs far away"
+    texts = [base]
+    for _ in range(220):
+        words = base.split()
+        words[rng.randrange(len(words))] = "".join(rng.choice("abé") for _ in range(rng.randrange(1, 7)))
+        if rng.random() < 0.3:
+            at = rng.randrange(len(words))
+            words[at] = words[at][::-1]
+        line = " ".join(words)
+        for _ in range(rng.randrange(3)):
+            at = rng.randrange(len(line))
+            line = line[:at] + rng.choice(["", "x", line[at] + "z"]) + line[at + 1 :]
+        texts.append(line)
+    rng.shuffle(texts)
+    want = {}
+    for i, a in enumerate(texts):
+        if any(a == b or abs(len(a) - len(b)) <= 2 and edits_apart(a, b, 2) for b in texts[:i]):
+            want[i] = [0]
+    got = {r.doc: r.removed for r in lines.removed_lines(docs_of(spark, texts)).collect()}
+    assert got == want and 20 < len(want) < 120
+
+
+def test_line_distance(spark):
+    rng = random.Random(3)
+    pairs = []
+    for _ in range(400):
+        a = "".join(rng.choice("abü𝒳") for _ in range(rng.choice([0, 1, 2, 5, 30])))
+        b = list(a)
+        for _ in range(rng.randrange(5)):
+            at = rng.randrange(len(b) + 1)
+            b[at : at + rng.randrange(2)] = rng.choice(["", "a", "ü"])
+        pairs.append((a, "".join(b)))
+    rows = spark.createDataFrame(pairs, "a string, b string").select("a", "b", *(lines.within(F.col("a"), F.col("b"), k).alias(f"within{k}") for k in (2, 4)))
+    for r in rows.collect():
+        assert r.within2 == edits_apart(r.a, r.b, 2) and r.within4 == edits_apart(r.a, r.b, 4)
+
+
 def test_lines(spark):
     rng = random.Random(6)
     base = ["".join(rng.choice("abcdé ") for _ in range(rng.choice((10, 23, 24, 25, 30, 31, 40)))) for _ in range(12)]

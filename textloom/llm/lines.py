@@ -2,66 +2,148 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import stored, table
 
 #: Edits that two near lines may differ by; shorter lines than LEAST_CHARS are duplicates only if equal.
 EDITS, LEAST_CHARS = 2, 24
+#: Lines of a key that are compared pair by pair; larger keys are split in rounds, so many at most.
+FEW, LEVELS = 32, 4
 
 
-def segment(length: Column, i: int, parts: int) -> tuple[Column, Column]:
-    """Start (from 0) and length of the i-th of `parts` segments of a line; the last ones take what is left over."""
-    short = (length / parts).cast("int")
-    plain = F.lit(parts) - length % parts  # segments of the short length
-    return F.lit(i) * short + F.greatest(F.lit(i) - plain, F.lit(0)), short + (F.lit(i) >= plain).cast("int")
+def shifts(d: int, i: int, edits: int) -> range:
+    """Where the i-th segment (from 0) of a line shorter by d may stand in a line within `edits` edits of it.
 
+    It may be shifted by -i to i, and by d - (edits - i) to d + (edits - i): the edits before it and those after it
+    both bound the shift.
+    """
+    return range(max(-i, d - (edits - i)), min(i, d + (edits - i)) + 1)
+
+
+def line_keys(lines: DataFrame, edits: int) -> DataFrame:
+    """(k, gives, takes, h) from (h, line): keys of a line's own segments (gives) and of its other substrings that may
+    equal a segment of a line that is no longer and within `edits` edits.
+
+    A line is cut into edits + 1 segments of which the last ones take what is left over. Each line meets the same
+    small list of segments and shifts, so that one short expression makes all keys.
+    """
+    parts = edits + 1
+    places = [(d, i, shift) for d in range(parts) for i in range(parts) for shift in shifts(d, i, edits)]
+    specs = F.array(*(F.struct(F.lit(d).alias("d"), F.lit(i).alias("i"), F.lit(s).alias("shift"), F.lit(d == 0 and s == 0).alias("gives")) for d, i, s in places))
+    rows = lines.withColumn("n", F.length("line")).select("h", "line", "n", F.inline(specs)).withColumn("m", F.col("n") - F.col("d"))
+    left = F.col("i") - parts + F.col("m") % parts  # segments before this one that are longer by one, if above 0
+    rows = rows.withColumns({"left": left, "size": (F.col("m") / parts).cast("int")})
+    start = F.col("i") * F.col("size") + F.greatest("left", F.lit(0)) + F.col("shift")
+    rows = rows.withColumns({"start": start, "size": F.col("size") + (F.col("left") >= 0).cast("int")})
+    rows = rows.filter((F.col("m") >= 0) & (F.col("start") >= 0) & (F.col("start") + F.col("size") <= F.col("n")))
+    return rows.select(F.xxhash64("m", "i", F.col("line").substr(F.col("start") + 1, F.col("size"))).alias("k"), "gives", F.lit(True).alias("takes"), "h")
+
+
+def shared_keys(keys: DataFrame) -> DataFrame:
+    """The rows of keys that several lines have, of which one gives and one takes."""
+    same = Window.partitionBy("k")
+    marked = keys.withColumns({"_a": F.min("h").over(same), "_b": F.max("h").over(same), "_gives": F.max("gives").over(same), "_takes": F.max("takes").over(same)})
+    return marked.filter("_a <> _b and _gives and _takes").drop("_a", "_b", "_gives", "_takes")
+
+
+def let(value: Column, body) -> Column:
+    """body of a value that is worked out once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
 
-def key(length: Column, i: int, line: Column, start: Column, size: Column) -> Column:
-    return F.xxhash64(length, F.lit(i), F.substring(line, start + 1, size))
 
+def common_start(a: Column, b: Column) -> Column:
+    """Number of characters that two strings share at their start, by halving steps."""
 
-def index_keys(line: Column, length: Column, edits: int) -> Column:
-    return F.array(*(key(length, i, line, *segment(length, i, edits + 1)) for i in range(edits + 1)))
+    def found(both: Column) -> Column:
+        a, b, short = both["a"], both["b"], both["short"]
+        steps = F.transform(F.sequence(F.log2(F.greatest(short, F.lit(1))).cast("int"), F.lit(0), F.lit(-1)), lambda i: F.call_function("shiftleft", F.lit(1), i))
+        longer = lambda p, s: F.when((p + s <= short) & (a.substr(p + 1, s) == b.substr(p + 1, s)), p + s).otherwise(p)
+        return F.aggregate(steps, F.lit(0), longer)
 
+    return let(F.struct(a.alias("a"), b.alias("b")), lambda x: let(F.struct(x["a"].alias("a"), x["b"].alias("b"), F.least(F.length(x["a"]), F.length(x["b"])).alias("short")), found))
 
-def probe_keys(line: Column, length: Column, edits: int) -> Column:
-    """Keys of the substrings that may equal a segment of a line that is no longer and within `edits` edits.
 
-    For a line shorter by d, its i-th segment (from 0) may stand shifted by -i to i, and by d - (edits - i) to
-    d + (edits - i): the edits before it and those after it both bound the shift.
+def reach(line: Column, other: Column, edits: int) -> Column:
+    """Struct (same, far): how many characters two strings share at their start, and how far into the other one `edits`
+    edits of the first lead at most: an edit at every difference, each followed by all that is equal."""
+
+    def onward(x: Column, y: Column) -> Column:
+        x, y = F.least(x, F.length(line)), F.least(y, F.length(other))
+        same = common_start(line.substr(x + 1, F.length(line)), other.substr(y + 1, F.length(other)))
+        return let(same, lambda n: F.struct((x + n).alias("x"), (y + n).alias("y")))
+
+    more = lambda at: F.array(onward(at["x"] + 1, at["y"] + 1), onward(at["x"] + 1, at["y"]), onward(at["x"], at["y"] + 1))
+
+    def all_(same: Column) -> Column:
+        at = F.array(F.struct(same.alias("x"), same.alias("y")))
+        for _ in range(edits):
+            at = F.flatten(F.transform(at, more))
+        return F.struct(same.alias("same"), F.array_max(F.transform(at, lambda one: one["y"])).alias("far"))
+
+    return let(common_start(line, other), all_)
+
+
+def band_distance(longer: Column, shorter: Column, edits: int) -> Column:
+    """Edit distance of two arrays of characters, the first longer by `edits` at most; more than `edits` may come out larger.
+
+    A column of the table of distances is held in a band of 2 * edits + 1 rows around the diagonal, as bits of two
+    integers: rows that exceed the one above by one (up) and rows that are one below it (down). A character of
+    the shorter string updates all rows at once. The distance along the diagonal of the table's end grows unless
+    its bit says that the value was carried over.
     """
-    found = []
-    for d in range(edits + 1):
-        for i in range(edits + 1):
-            start, size = segment(length - d, i, edits + 1)
-            for shift in range(max(-i, d - (edits - i)), min(i, d + (edits - i)) + 1):
-                inside = (start + shift >= 0) & (start + shift + size <= length)
-                found.append(F.when(inside, key(length - d, i, line, start + shift, size)))
-    return F.array_distinct(F.array_compact(F.array(*found)))
+    full = F.lit((1 << (2 * edits + 1)) - 1)
+    inverse = lambda x: F.bitwise_not(x).bitwiseAND(full)
+    apart = F.size(longer) - F.size(shorter)
+    bit = lambda row, b, char: F.when(F.get(longer, row) == char, F.lit(1 << b)).otherwise(F.lit(0))
+
+    def step(state: Column, j: Column) -> Column:
+        up, down, char = state["up"], state["down"], F.get(shorter, j)
+        same = F.lit(0)
+        for b in range(2 * edits + 1):
+            same = same.bitwiseOR(bit(j + (b - edits), b, char))
 
+        def carried_of(same: Column) -> Column:
+            return (same.bitwiseAND(up) + up).bitwiseXOR(up).bitwiseOR(same).bitwiseOR(down).bitwiseAND(full)
 
-#: Classes of characters whose counts tell most candidates apart before their lines are read.
-CLASSES = ("[eE]", "[aA]", "[oOuU]", "[iI]", "[tT]", "[nN]", "[rRsS]", "[dDhHlL]")
+        def turn(carried: Column, more: Column) -> Column:
+            moved = F.shiftright(carried, 1)
+            return F.struct(
+                carried.bitwiseAND(up).bitwiseOR(inverse(moved.bitwiseOR(more))).alias("up"),
+                moved.bitwiseAND(more).alias("down"),
+                (state["apart"] + 1 - F.call_function("shiftright", carried, apart + edits).bitwiseAND(F.lit(1))).alias("apart"),
+            )
 
+        return let(let(same, carried_of), lambda carried: let(down.bitwiseOR(inverse(carried.bitwiseOR(up))), lambda more: turn(carried, more)))
 
-def tally(line: Column) -> Column:
-    """The counts of the eight classes, each modulo 16, in one integer."""
-    out = F.lit(0)
-    for k, c in enumerate(CLASSES):
-        out = out.bitwiseOR(F.shiftleft(((F.length(line) - F.length(F.regexp_replace(line, c, ""))) % 16).cast("int"), 4 * k))
-    return out
+    start = F.struct(F.lit(((1 << (edits + 1)) - 1) << edits).alias("up"), F.lit(0).alias("down"), apart.alias("apart"))
+    places = F.when(F.size(shorter) > 0, F.sequence(F.lit(0), F.size(shorter) - 1)).otherwise(F.array().cast("array<int>"))
+    return F.aggregate(places, start, step, lambda state: state["apart"])
 
 
-def tallies_near(a: Column, b: Column, edits: int) -> Column:
-    """An edit moves the counts by two at most, so lines within `edits` edits are apart by twice as much at most."""
-    apart = F.lit(0)
-    for k in range(len(CLASSES)):
-        nibble = lambda x: F.shiftrightunsigned(x, 4 * k).bitwiseAND(F.lit(15))  # noqa: E731, B023
-        d = F.abs(nibble(a) - nibble(b))
-        apart = apart + F.least(d, 16 - d)
-    return apart <= 2 * edits
+def rest(a: Column, b: Column) -> Column:
+    """Struct (a, b) of two strings less their common start, reversed."""
+    return let(common_start(a, b), lambda same: F.struct(F.reverse(a.substr(same + 1, F.length(a))).alias("a"), F.reverse(b.substr(same + 1, F.length(b))).alias("b")))
+
+
+def within(a: Column, b: Column, edits: int) -> Column:
+    """Whether two strings are `edits` edits apart at most (2 or more). Common starts and ends are cut off; what is left begins and
+    ends with an edit, so one of edits - 1 pieces of its middle must stand in the other one; then the bit-parallel part."""
+    chars = lambda s: F.when(s == "", F.array().cast("array<string>")).otherwise(F.split(s, ""))
+    ordered = F.when(F.length(a) >= F.length(b), F.struct(a.alias("a"), b.alias("b"))).otherwise(F.struct(b.alias("a"), a.alias("b")))
+
+    def hopeful(x: Column) -> Column:
+        size = F.length(x["b"])
+        begin = lambda j: ((size - 2) * j / (edits - 1)).cast("int")
+        stands = F.lit(False)
+        for j in range(edits - 1):
+            stands = stands | F.contains(x["a"], x["b"].substr(begin(j) + 2, begin(j + 1) - begin(j)))
+        return (size < 3) | stands
+
+    verdict = lambda x: let(chars(x["a"]), lambda longer: let(chars(x["b"]), lambda shorter: band_distance(longer, shorter, edits) <= edits))
+    cut = let(ordered, lambda x: let(rest(x["a"], x["b"]), lambda y: let(rest(y["a"], y["b"]), lambda z: F.when(hopeful(z), verdict(z)).otherwise(F.lit(False)))))
+    return F.when(F.abs(F.length(a) - F.length(b)) <= edits, cut).otherwise(F.lit(False))
 
 
 def lines_of(docs: DataFrame, doc: str, text: str) -> DataFrame:
@@ -71,6 +153,78 @@ def lines_of(docs: DataFrame, doc: str, text: str) -> DataFrame:
     return split.filter(F.col("line").rlike("[^ \\t-\\r]")).withColumn("h", F.xxhash64("line"))
 
 
+def place(of: str = "") -> Column:
+    return F.struct(*(F.col(of + c).alias(c) for c in ("doc", "version", "at")))
+
+
+def checked(pairs: DataFrame, texts: DataFrame, edits: int) -> DataFrame:
+    """Of the pairs (h, g, of_pivot) of lines, those within `edits` edits of each other."""
+    pairs = pairs.groupBy("h", "g").agg(F.max("of_pivot").alias("of_pivot"))
+    one = pairs.join(texts.select("h", F.col("line").alias("a")).hint("merge"), "h")
+    both = one.join(texts.select(F.col("h").alias("g"), F.col("line").alias("b")).hint("merge"), "g")
+    return both.filter(within(F.col("a"), F.col("b"), edits)).select("h", "g", "of_pivot")
+
+
+def split_keys(large: DataFrame, edits: int, level: int) -> DataFrame:
+    """(k, gives, takes, place, h): smaller keys for lines that meet under a large one.
+
+    large: (k, place, h, line, other, near), other being the key's pivot and near whether line is near it. A line shares
+    `same` characters with the pivot and reaches `far` into it. If two lines are near, then the one that shares more
+    shares no more than the other one reaches; and likewise from the end. So a line that isn't near the pivot
+    takes the blocks from its `same` to its `far`, from the start and from the end, and two such lines
+    that are near have a pair of blocks in common. A line near the pivot gives its blocks from the start alone; those take them that
+    are within twice as many edits of the pivot, as any line near it must be.
+    """
+    block = F.greatest(F.lit(16 >> (2 * level)), F.shiftright(F.length("line"), 4 + level))
+    blocks = lambda at: F.sequence(F.floor(F.col(f"{at}.same") / F.col("block")), F.floor(F.col(f"{at}.far") / F.col("block")))
+    key_size = F.min(block).over(Window.partitionBy("k"))
+    rows = large.withColumn("block", key_size).withColumns({"head": reach(F.col("line"), F.col("other"), edits), "tail": reach(F.reverse("line"), F.reverse("other"), edits)})
+    rows = rows.withColumn("close", F.when(F.col("near"), F.lit(False)).otherwise(within(F.col("line"), F.col("other"), 2 * edits)))
+    apart = rows.filter(~F.col("near")).withColumn("a", F.explode(blocks("head"))).withColumn("b", F.explode(blocks("tail")))
+    apart = apart.select(F.xxhash64("k", "a", "b").alias("k"), F.lit(True).alias("gives"), F.lit(True).alias("takes"), "place", "h")
+    beside = rows.filter("near or close").withColumn("a", F.explode(blocks("head")))
+    beside = beside.select(F.xxhash64("k", "a", F.lit("near")).alias("k"), F.col("near").alias("gives"), (~F.col("near")).alias("takes"), "place", "h")
+    return shared_keys(apart.union(beside))
+
+
+def near_lines(rows: DataFrame, texts: DataFrame, edits: int, few: int = FEW, levels: int = LEVELS) -> DataFrame:
+    """(h): the lines that are within `edits` edits of one that first stands before them.
+
+    rows: (k, gives, takes, place, h), the lines of each key; two of them may be near if one gives and the other takes.
+    texts: (h, line). In a key of at most `few` lines all such pairs are verified. In a larger one every line meets
+    the earliest, the pivot: that decides copies with few edits of one original, however many they are. The
+    others meet again in smaller keys (see split_keys). Keys still larger after `levels` rounds have all pairs verified.
+    """
+    found = None
+    columns = rows.columns
+    for level in range(levels):
+        rows = stored(rows)
+        if rows.isEmpty():
+            break
+        last = F.lit(level == levels - 1)
+        keys = rows.groupBy("k").agg(F.countDistinct("h").alias("lines"), F.min(F.struct("place", "h")).alias("pivot"))
+        keys = stored(keys.select("k", ((F.col("lines") <= few) | last).alias("small"), F.col("pivot.h").alias("pivot")))
+        members = rows.join(keys.hint("merge"), "k")
+        all_ = members.filter("small").select("k", "gives", "takes", "place", "h")
+        other = all_.select("k", F.col("gives").alias("its"), F.col("takes").alias("it_takes"), F.col("place").alias("before"), F.col("h").alias("g"))
+        earlier = (all_["k"] == other["k"]) & (F.col("before") < F.col("place")) & ((F.col("gives") & F.col("it_takes")) | (F.col("its") & F.col("takes")))
+        pairs = all_.join(other.hint("merge"), earlier).select("h", "g")
+        large = members.filter("not small and h <> pivot")
+        # which lines are near their pivot matters below, for those that were decided before, too
+        met = stored(checked(pairs.select("h", "g", F.lit(False).alias("of_pivot")).union(large.select("h", F.col("pivot").alias("g"), F.lit(True))), texts, edits))
+        near = met.select("h").distinct()
+        found = near if found is None else found.union(near)
+        if level < levels - 1:
+            undecided = large.join(found.distinct().hint("merge"), "h", "left_anti").select("k").distinct()
+            # Keys of one pivot become one, as copies share several keys.
+            large = large.join(undecided.hint("merge"), "k", "left_semi").select(F.col("pivot").alias("k"), "place", "h", "pivot").distinct()
+            to_pivot = met.filter("of_pivot").select("h", F.col("g").alias("pivot"), F.lit(True).alias("near"))
+            large = large.join(to_pivot.hint("merge"), ["h", "pivot"], "left").withColumn("near", F.coalesce("near", F.lit(False)))
+            large = large.join(texts.hint("merge"), "h").join(texts.select(F.col("h").alias("pivot"), F.col("line").alias("other")).hint("merge"), "pivot")
+            rows = split_keys(large, edits, level).select(*columns)
+    return rows.select("h").limit(0) if found is None else found.distinct()
+
+
 def removed_lines(docs: DataFrame, doc: str = "doc_id", text: str = "text", edits: int = EDITS, least: int = LEAST_CHARS) -> DataFrame:
     """(doc, version, removed): for each document that loses lines, their numbers from 0 in order.
 
@@ -82,27 +236,24 @@ def removed_lines(docs: DataFrame, doc: str = "doc_id", text: str = "text", edit
 
     Equal lines are one before any join. A line of length n is cut into edits + 1 segments, of which one must
     stand unedited in any near line; it is looked up by length, segment number and content, at the places
-    where it may stand. Candidate pairs are verified by Spark's banded edit distance.
+    where it may stand. Keys that two lines share are the few that go on; see near_lines. Candidate pairs are
+    verified by a banded bit-parallel edit distance.
     """
     lines = lines_of(docs, doc, text)
-    place = F.struct("doc", "version", "at")
-    # One value holds place and line, so that every use below reads the same shuffle of the lines.
-    distinct = lines.groupBy("h").agg(F.min(F.struct("doc", "version", "at", "line")).alias("m"))
-    first = lambda m: F.struct(*(F.col(f"{m}.{c}").alias(c) for c in ("doc", "version", "at")))
-    # Tallies are made before the explosion, once a line.
-    long = distinct.withColumn("n", F.length("m.line")).filter(F.col("n") >= least).withColumn("tally", tally(F.col("m.line")))
-    kept = long.select("h", F.col("tally").alias("s"), F.explode(index_keys(F.col("m.line"), F.col("n"), edits)).alias("k"))
-    asked = long.select(F.col("h").alias("g"), F.col("tally").alias("t"), F.explode(probe_keys(F.col("m.line"), F.col("n"), edits)).alias("k"))
-    near_enough = (kept["k"] == asked["k"]) & (F.col("h") != F.col("g")) & tallies_near(F.col("s"), F.col("t"), edits)
-    pairs = kept.join(asked.hint("merge"), near_enough).select(F.least("h", "g").alias("h"), F.greatest("h", "g").alias("g")).distinct()
-    one = pairs.join(distinct.hint("merge"), "h")
-    other = distinct.select(F.col("h").alias("g"), F.col("m").alias("w"))
-    both = one.join(other.hint("merge"), "g").filter(F.levenshtein("m.line", "w.line", edits) >= 0)
-    near = both.select(F.when(first("m") < first("w"), F.col("g")).otherwise(F.col("h")).alias("h")).distinct().withColumn("near", F.lit(True))
-    firsts = distinct.join(near.hint("merge"), "h", "left").select("h", first("m").alias("first"), "near")
+    distinct = lines.groupBy("h").agg(F.min(F.struct("doc", "version", "at", "line")).alias("m"), F.count(F.lit(1)).alias("times"))
+    # Both uses of the distinct lines ask for all their columns, so that they read the same shuffle.
+    long = distinct.filter((F.length("m.line") >= least) & (F.col("times") > 0)).select("h", "m.line")
+    shared = shared_keys(line_keys(long, edits)).groupBy("h").agg(F.collect_list(F.struct("k", "gives", "takes")).alias("keys"))
+    # One job from end to end: as two, the lines would be shuffled twice.
+    held = distinct.join(shared.hint("merge"), "h", "left").filter("keys is not null or times > 1")
+    held = stored(held.select("h", place("m.").alias("place"), F.when(F.col("keys").isNotNull(), F.col("m.line")).alias("line"), "keys"))
+    places = held.select("h", "place")
+    texts = held.filter("line is not null").select("h", "line")
+    near = near_lines(held.select(F.inline("keys"), "place", "h"), texts, edits)
+    firsts = stored(places.join(near.withColumn("near", F.lit(True)).hint("merge"), "h", "left").select("h", F.col("place").alias("first"), "near"))
     told = lines.select("h", "doc", "version", "at").join(firsts.hint("merge"), "h")
-    gone = told.filter((place != F.col("first")) | F.col("near").isNotNull()).select("doc", "version", "at").distinct()
-    return gone.groupBy("doc", "version").agg(F.array_sort(F.collect_list("at")).alias("removed"))
+    gone = told.filter((place() != F.col("first")) | F.col("near"))
+    return gone.groupBy("doc", "version").agg(F.array_sort(F.collect_set("at")).alias("removed"))
 
 
 def dedup_lines(docs: DataFrame, doc: str = "doc_id", text: str = "text", edits: int = EDITS, least: int = LEAST_CHARS) -> DataFrame:
