@@ -16,13 +16,15 @@ from .components import components
 
 SIZE, PERCENT = 4, 85
 #: Shingles that this share of a task's documents holds are put last in the global order; it changes no result.
-COMMON = 0.002
+COMMON = 0.0005
 #: Common shingles known to all tasks, at most; further ones stand by their hash.
 MOST_COMMON = 100_000
 #: Sets meet that share so many of their first shingles; prefixes are longer by as much, so that linked ones do.
 SHARED = 4
+#: Of a shingle that so many sets begin with at most, each two count what they share; more meet at one place at once.
+FEW = 16
 #: Shingles of a group of candidates that one task joins; a larger group is split into blocks.
-BLOCK = 4_000_000
+BLOCK = 2_000_000
 
 
 def least_overlap(n: int, percent: int) -> int:
@@ -66,10 +68,11 @@ class Node:
 
 
 class PrefixTree:
-    """Sets as paths of shingles in the global order; sets that begin alike share the path.
+    """Sets as paths of shingles in one order; sets that begin alike share the path.
 
-    A probe marks the paths to the sets that share one of its first shingles and walks those once for all of them; an
-    edge is read in runs, and a subtree is left when what remains can't bring the overlap to the bound.
+    A path may lack shingles that no other set has; `n` counts them, too. A probe marks the paths to the sets that share
+    its first shingles and walks those once for all of them; an edge is read in runs, and a subtree is left when what
+    remains can't bring the overlap to the bound.
     """
 
     RUN = 48
@@ -78,15 +81,15 @@ class PrefixTree:
         self.percent, self.root, self.leaf, self.probes = percent, Node([], 0, None), {}, 0
         self.root.fewest = 1 << 60
 
-    def add(self, key: int, path: list[int]) -> None:
+    def add(self, key: int, path: list[int], n: int) -> None:
         node, at = self.root, 0
         while True:
-            node.fewest, node.most = min(node.fewest, len(path)), max(node.most, len(path))
+            node.fewest, node.most = min(node.fewest, n), max(node.most, n)
             if at == len(path):
                 break
             child = node.children.get(path[at])
             if child is None:
-                child = node.children[path[at]] = Node(path[at:], len(path), node)
+                child = node.children[path[at]] = Node(path[at:], n, node)
                 node = child
                 break
             edge, same = child.edge, 0
@@ -98,12 +101,12 @@ class PrefixTree:
                 child.edge, child.up = edge[same:], upper
                 node.children[path[at]] = child = upper
             node, at = child, at + same
-        node.keys.append(key)
+        node.keys.append((key, n))
         self.leaf[key] = node
 
-    def linked(self, path: list[int], candidates: set[int], skip) -> Iterator[int]:
+    def linked(self, path: list[int], n: int, candidates: set[int], skip) -> Iterator[int]:
         """Keys among the candidates whose sets are linked with the probe; skip(key) tells which need no answer."""
-        p, n = self.percent, len(path)
+        p = self.percent
         inside = set(path).__contains__
         self.probes += 1
         for key in candidates:
@@ -128,8 +131,8 @@ class PrefixTree:
             if dead:
                 continue
             depth += len(edge)
-            for key in node.keys:
-                if key in candidates and 100 * shared >= p * (n + depth - shared) and not skip(key):
+            for key, m in node.keys:
+                if key in candidates and 100 * shared >= p * (n + m - shared) and not skip(key):
                     yield key
             stack.extend((child, depth, shared) for child in node.children.values() if child.mark == self.probes)
 
@@ -146,17 +149,19 @@ class Groups:
         return x
 
 
-def tree_join(keys: list[int], sets: list[list[int]], percent: int, cross: list[bool] | None = None) -> list[tuple[int, int]]:
+def tree_join(keys: list[int], sets: list[list[int]], percent: int, cross: list[bool] | None = None, sizes: list[int] | None = None) -> list[tuple[int, int]]:
     """Links that span the groups of the given sets: as many groups, one link fewer than sets in each.
 
-    With cross, only pairs of a marked and an unmarked set are looked at.
+    sizes: of whole sets, if shingles that one set alone has were left out. With cross, only pairs of a marked and an
+    unmarked set are looked at.
     """
     tree, groups, out = PrefixTree(percent), Groups(), []
+    sizes = sizes or [len(x) for x in sets]
     holders: dict[int, dict[int, list[int]]] = {}  # shingle to the sets that begin with it, by their group when added
-    order = sorted(range(len(keys)), key=lambda k: (bool(cross and cross[k]), len(sets[k]), keys[k]))
+    order = sorted(range(len(keys)), key=lambda k: (bool(cross and cross[k]), sizes[k], keys[k]))
     for k in order:
-        own, path = keys[k], sets[k]
-        first = path[: len(path) - least_overlap(len(path), percent) + 1]
+        own, path, n = keys[k], sets[k], sizes[k]
+        first = path[: max(0, len(path) - least_overlap(n, percent) + 1)]
         if cross is None or cross[k]:
             candidates = set()
             for h in first:
@@ -170,13 +175,13 @@ def tree_join(keys: list[int], sets: list[list[int]], percent: int, cross: list[
                         if groups.root(g) != here:
                             candidates.update(members)
             skip = lambda other: groups.root(other) == groups.root(own)  # noqa: E731, B023
-            for other in tree.linked(path, candidates, skip):
+            for other in tree.linked(path, n, candidates, skip):
                 a, b = groups.root(own), groups.root(other)
                 if a != b:
                     groups.up[max(a, b)] = min(a, b)
                     out.append((own, other))
         if cross is None or not cross[k]:
-            tree.add(own, path)
+            tree.add(own, path, n)
             for h in first:
                 holders.setdefault(h, {}).setdefault(groups.root(own), []).append(own)
     return out
@@ -273,8 +278,9 @@ def _prefixes(size: int, percent: int, common: tuple, buckets: int):
 
 
 def _places(percent: int):
-    """(at, rep, weight): sets that share a shingle meet at the smallest of them. Weights add up to SHARED where they
-    share enough; sets of no chain of lengths that may link don't meet."""
+    """(at, rep, weight): sets that share a shingle meet at the smaller one of each two if they are FEW at most, or else at
+    the smallest of all. Weights add up to SHARED where they share enough; sets of no chain of lengths that may
+    link don't meet."""
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         hashes = np.concatenate([np.frombuffer(x, U64) for x in group["h"]])
@@ -292,17 +298,50 @@ def _places(percent: int):
         size = np.diff(np.append(start, len(begin)))
         least = np.minimum.reduceat(rep, start)
         at, many = np.repeat(least, size), np.repeat(size, size)
-        keep = (many > 1) & (at != rep)
-        weight = np.where((many[keep] > 2) | (n[keep] < 4 * SHARED), SHARED, 1)
-        pairs = pd.DataFrame({"at": at[keep], "rep": rep[keep], "weight": weight}).astype("int64")
+        star = (many > FEW) & (at != rep)
+        found = [(at[star], rep[star], np.full(int(star.sum()), SHARED))]
+        for apart in range(1, min(FEW, len(rep))):  # of few holders each two meet, so that sets that share one shingle by chance don't count more
+            i = np.flatnonzero((many <= FEW)[apart:] & (at[apart:] == at[: len(at) - apart]) & (np.repeat(start, size)[apart:] == np.repeat(start, size)[: len(at) - apart]))
+            a, b = rep[i], rep[i + apart]
+            found.append((np.minimum(a, b), np.maximum(a, b), np.where(np.minimum(n[i], n[i + apart]) < 4 * SHARED, SHARED, 1)))
+        pairs = pd.DataFrame({name: np.concatenate([x[k] for x in found]) for k, name in enumerate(("at", "rep", "weight"))}).astype("int64")
         return pairs.groupby(["at", "rep"], as_index=False)["weight"].sum()
 
     return run
 
 
-def _join(size: int, percent: int, common: tuple):
+def hopeful_paths(keys: list[int], sets: list[np.ndarray], marks: list[bool], percent: int) -> tuple[list[int], list[list[int]], list[int], list[bool]]:
+    """Of sets that meet at a place: those that may link there, as paths of ranks, with their sizes and marks.
+
+    Shingles are ranked by how many of these sets hold them, rarest first, so that what many share for a passage comes
+    last. A shingle of one set alone can't be shared and is left out; a set of which too few shingles are left
+    links with none, and goes before the others are counted again.
+    """
+    sizes = np.array([len(x) for x in sets], np.int64)
+    owner = np.repeat(np.arange(len(sets)), sizes)
+    _, name = np.unique(np.concatenate([np.zeros(0, U64), *sets]), return_inverse=True)
+    least = -(-percent * sizes // 100)
+    while True:
+        held = np.bincount(name, minlength=1)
+        both = held[name] > 1
+        stay = np.bincount(owner[both], minlength=len(sizes)) >= least
+        keep = both & stay[owner]
+        if keep.all():
+            break
+        owner, name = owner[keep], name[keep]
+    rank = np.empty(len(held), np.int64)
+    rank[np.argsort(held, kind="stable")] = np.arange(len(held))
+    order = np.lexsort((rank[name], owner))
+    owner, ranks = owner[order], rank[name][order]
+    alive, begin = np.unique(owner, return_index=True)
+    paths = [x.tolist() for x in np.split(ranks, begin[1:])] if len(alive) else []
+    at = alive.tolist()
+    return [keys[k] for k in at], paths, sizes[alive].tolist(), [marks[k] for k in at]
+
+
+def _join(size: int, percent: int):
     def run(group: pd.DataFrame) -> pd.DataFrame:
-        shingles, order = Shingles(size), Order(*common)
+        shingles = Shingles(size)
         keys, sets, marks, seen = [], [], [], set()
         for rep, text, side in zip(group["rep"], group["text"], group["side"], strict=True):
             found = shingles.of(text.encode()) if text is not None else np.zeros(0, U64)
@@ -310,10 +349,11 @@ def _join(size: int, percent: int, common: tuple):
                 continue
             seen.add(int(rep))
             keys.append(int(rep))
-            sets.append(order.sort(found).tolist())
+            sets.append(found)
             marks.append(bool(side))
         one_block = group["i"].iloc[0] == group["j"].iloc[0]
-        return pd.DataFrame(tree_join(keys, sets, percent, None if one_block else marks), columns=["a", "b"], dtype="int64")
+        keys, paths, sizes, marks = hopeful_paths(keys, sets, marks, percent)
+        return pd.DataFrame(tree_join(keys, paths, percent, None if one_block else marks, sizes), columns=["a", "b"], dtype="int64")
 
     return run
 
@@ -357,7 +397,10 @@ def similar_links(rows: DataFrame, reps: DataFrame, size: int, percent: int) ->
     packed = rows.select("text").mapInArrow(_prefixes(size, percent, common, buckets), "bucket long, h binary, owner binary, sets binary")
     met = packed.groupBy("bucket").applyInPandas(_places(percent), "at long, rep long, weight long")
     met = stored(met.groupBy("at", "rep").agg(F.sum("weight").alias("w")).filter(F.col("w") >= SHARED).select("at", "rep"))
-    places = met.union(met.select("at", "at").distinct())
+    # Copies of one text meet at one place, not two by two: each pair goes to the smallest set that its smaller one meets.
+    nearest = met.union(met.select("rep", "at")).groupBy("at").agg(F.min("rep").alias("least")).withColumn("least", F.least("at", "least"))
+    moved = met.join(nearest.hint("merge"), "at")
+    places = moved.select(F.col("least").alias("at"), "rep").union(moved.select("least", "at")).distinct()
     sized = places.join(reps.withColumnRenamed("set", "rep").hint("merge"), "rep")
     sizes = sized.groupBy("at").agg(F.sum("n").alias("total"))
     spread = sized.join(sizes.hint("merge"), "at").withColumn("blocks", F.ceil(F.col("total") / BLOCK).cast("int"))
@@ -367,7 +410,7 @@ def similar_links(rows: DataFrame, reps: DataFrame, size: int, percent: int) ->
         "at", "rep", F.col("rep_doc").alias("doc"), F.least("own", "x").alias("i"), F.greatest("own", "x").alias("j"), (F.col("own") > F.col("x")).alias("side")
     )
     work = pairs.join(rows.hint("merge"), "doc").select("at", "i", "j", "rep", "side", "text")
-    found = work.groupBy("at", "i", "j").applyInPandas(_join(size, percent, common), "a long, b long")
+    found = work.groupBy("at", "i", "j").applyInPandas(_join(size, percent), "a long, b long")
     for end in ("a", "b"):
         found = found.join(reps.select(F.col("set").alias(end), "rep_doc").hint("merge"), end).drop(end).withColumnRenamed("rep_doc", end)
     return found.filter("a <> b").distinct()
