@@ -2,48 +2,65 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textloom.llm import bpe, decontaminate, jaccard, language, lines
-from textloom.llm.common import stored, table
+from textloom.llm.common import forget, stored, table
+
+#: Near-duplicate documents: words of a shingle, and the least similarity in percent.
+SHINGLE, PERCENT = 5, 80
+
+
+def aside(docs: DataFrame) -> tuple[DataFrame, str, Callable[[DataFrame], DataFrame]]:
+    """docs under names that no operator uses, the name of its text, and what brings a result back to the columns of docs."""
+    own = [f"_column{k}" for k in range(len(docs.columns))]
+    back = lambda rows: rows.select(*own).toDF(*docs.columns)
+    return docs.toDF(*own), own[docs.columns.index("text")], back
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which a language was found: null texts and texts without a letter go."""
     model = language.fit(docs)
-    rows = docs.withColumn("_text", F.col("text"))
-    told = language.identify(rows.drop("lang_pred", "score"), model, "_text")
-    return told.filter("lang_pred <> 'und'").select(*docs.columns)
+    rows, text, back = aside(docs)
+    return back(language.identify(rows, model, text).filter("lang_pred <> 'und'"))
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, less their duplicate and near-duplicate lines."""
-    return lines.dedup_lines(docs).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    """All documents, less their duplicate and near-duplicate lines; n_chars, if there is one, follows the text."""
+    rows, text, back = aside(docs)
+    left = back(lines.dedup_lines(rows, rows.columns[docs.columns.index("doc_id")], text))
+    if "n_chars" not in docs.columns:
+        return left
+    return left.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
 
 
 def keep_one_of_similar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of 0.85 by Jaccard over 4-word shingles, the one of the smallest id.
+    """One document of each group of 0.8 by Jaccard over 5-word shingles, the one of the smallest id.
 
-    Documents without words stay. Rows that share an id with words are one document; the first by content stays.
+    Documents without words stay: line dedup leaves copies so, whose lines all stood earlier. Rows that share an id
+    with words are one document; the first by text, then by the other columns in their order stays.
     """
-    groups = jaccard.group_similar(docs.select("doc_id", "text"))
+    groups = jaccard.group_similar(docs.select("doc_id", "text"), size=SHINGLE, percent=PERCENT)
     others = groups.filter("component_id <> doc").select(F.col("doc").alias("doc_id")).distinct()
     left = docs.join(others.hint("merge"), "doc_id", "left_anti").select(*docs.columns)
     twice = groups.filter("doc is not null").groupBy("doc").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     if twice.isEmpty():
         return left
-    again = left.join(twice.hint("merge"), left["doc_id"] == twice["doc"], "left_semi")
-    once = left.join(twice.hint("merge"), left["doc_id"] == twice["doc"], "left_anti")
+    again = left.join(twice.select("doc").hint("merge"), left["doc_id"] == twice["doc"], "left_semi")
+    once = left.join(twice.select("doc").hint("merge"), left["doc_id"] == twice["doc"], "left_anti")
     empty = F.coalesce(F.trim(F.regexp_replace("text", "[ \\t-\\r]", "")), F.lit("")) == ""
-    return once.unionByName(again.filter(empty)).unionByName(again.filter(~empty).dropDuplicates(["doc_id"]))
+    first = again.filter(~empty).groupBy("doc_id").agg(F.min(F.struct("text", F.struct(*docs.columns).alias("row"))).alias("first"))
+    return once.unionByName(again.filter(empty)).unionByName(first.select("first.row.*"))
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no window of a benchmark item."""
-    rows = docs.withColumn("_text", F.col("text"))
-    found = decontaminate.find_benchmark(rows.drop("n_words", "hit_spans", "items"), table(spark, sf_dir, "benchmark"), "_text")
-    return found.filter(F.size("hit_spans") == 0).select(*docs.columns)
+    rows, text, back = aside(docs)
+    found = decontaminate.find_benchmark(rows, table(spark, sf_dir, "benchmark"), text)
+    return back(found.filter(F.size("hit_spans") == 0))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -69,9 +86,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = source = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+        kept = stage(spark, docs, sf_dir)
         if name != STAGES[-1][0]:
-            docs = stored(docs)
+            kept = stored(kept)
+            if docs is not source:
+                forget(docs)
+        docs = kept
     return docs
