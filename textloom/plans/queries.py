@@ -254,17 +254,10 @@ def document_subsample(spark, d):
     return split.subsample(table(spark, d, "documents").select("doc_id"), "doc_id", 100)
 
 
-@query("select substring(sha256(string_agg(cast(doc_id as varchar), chr(10) order by doc_id)), 1, 16) as train_list_sha256 from documents where doc_id % 1000 < 50")
-def train_list_hash(spark, d):
-    """Hash of a list of names (the list is what is hashed, so it is one value)."""
-    ids = table(spark, d, "documents").filter("doc_id % 1000 < 50").agg(F.array_sort(F.collect_list("doc_id")).alias("v"))
-    return ids.select(F.substring(F.sha2(F.array_join(F.col("v").cast("array<string>"), "\n"), 256), 1, 16).alias("train_list_sha256"))
-
-
 @query(f"""with t as (select doc_id from {SPLIT_SQL} where split = 'train'), b as (select doc_id // 1000 as b, count(*) as n, sha256(string_agg(cast(doc_id as varchar), chr(10) order by doc_id)) as h from t group by 1)
 select cast(coalesce(sum(n), 0) as bigint) as names, substring(sha256(coalesce(string_agg(h, chr(10) order by b), '')), 1, 16) as train_list_sha256 from b""")
 def train_list_digest(spark, d):
-    """Hash of the whole train list, by digests of blocks; train_list_hash has a part of the ids alone."""
+    """Hash of the whole train list, by digests of blocks."""
     train = split.split(_docs_with_strata(spark, d), "doc_id", "form", "year").filter("split = 'train'")
     return split.list_digest(train.select("doc_id"), "doc_id").select("names", F.substring("digest", 1, 16).alias("train_list_sha256"))
 
