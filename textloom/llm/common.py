@@ -32,11 +32,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """A fresh folder below spark.checkpoint.dir; a folder of our own only where that is unset."""
+    """A fresh folder below spark.checkpoint.dir; a folder of our own only where that is unset and all runs in one process."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         own = spark.sparkContext._jsc.sc().getCheckpointDir()
-        base = own.get() if own.isDefined() else os.path.join("/tmp", "textloom-checkpoints")
+        if own.isDefined():
+            base = own.get()
+        elif spark.sparkContext.master.partition("[")[0] == "local":
+            base = os.path.join("/tmp", "textloom-checkpoints")
+        else:  # executors don't share a local folder
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     return f"{base.rstrip('/')}/textloom-{uuid.uuid4().hex}"
 
 
