@@ -36,6 +36,10 @@ def odd():
     return [None, "", " \n\t", "one", "É ñ", base, base, " ".join(near), base.upper(), say(60) + "\n" + base[:300], "a " * 200, say(5000), "漢字 😀 x\x1cy", say(9), say(40) + " " + base]
 
 
+def docs_of_sf(spark):
+    return [r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").orderBy("doc_id").select("text").collect()]
+
+
 def empty(spark):
     return docs_of(spark, [], [])
 
@@ -293,7 +297,10 @@ def test_language(spark, odd):
     assert {r.lang_pred for r in language.identify(docs_of(spark, odd), none).collect()} == {"und"}
 
 
-def test_longest_matches():
+@pytest.mark.parametrize("segment,dense", [(2048, 250), (3, 250), (2048, 2), (4, 1)])
+def test_longest_matches(monkeypatch, segment, dense):
+    monkeypatch.setattr(language, "SEGMENT", segment)
+    monkeypatch.setattr(language, "DENSE_LETTERS", dense)
     model = language.build({"a": ["abcabd"], "b": ["xyz abd"]}, 100)
     steps = language.Letters()
     sample = {"a": "abcabd ", "b": "xyz abd "}
@@ -313,6 +320,17 @@ def test_longest_matches():
             assert got[k] == n, (t, lang)
 
 
+def test_long_texts_parse_as_one(spark, monkeypatch):
+    texts = [t for t in docs_of_sf(spark) if t]
+    model = language.build({"a": texts[:3], "b": texts[3:6]}, 5000)
+    letters = [language.Letters().of(t) for t in (" ".join(texts[6:60]), "a " * 5000, texts[7], "q", "ab" * 4000)]
+    parts = [letters[:2], letters[2:], letters]
+    parted = [language.phrases(model, x).tolist() for x in parts]
+    monkeypatch.setattr(language, "SEGMENT", 1 << 20)
+    assert len(letters[0]) > 10_000 and parted == [language.phrases(model, x).tolist() for x in parts]
+    assert parted[0] + parted[1] == parted[2]
+
+
 def brute_katz(texts, train, vocabulary):
     toks = [katz.tokens(None if t is None else t.encode()) for t in texts]
     c = Counter(w for k, t in enumerate(toks) if train[k] for w in t)

@@ -17,9 +17,9 @@ from .common import add_columns, table
 
 #: The bounded sample that a language's automaton is built from: so many documents at most, and so many symbols of them.
 SAMPLE_DOCS, SAMPLE_SYMBOLS = 40, 24_000
-#: Letters that have a symbol of their own; the space is symbol 1, any other letter 0.
-MOST_LETTERS = 250
-#: A text is parsed in segments of so many symbols, each from its own start.
+#: Letters whose steps stand in a dense table; those of rarer letters are looked up in a sorted one.
+DENSE_LETTERS = 250
+#: Texts are laid out in segments of so many symbols; the state at a segment's end is the next one's begin.
 SEGMENT = 2048
 
 
@@ -47,11 +47,13 @@ class Letters:
 
 class Model(NamedTuple):
     langs: list[str]
-    symbol: np.ndarray  # of a code point
-    step: np.ndarray  # state * n_symbols + symbol to the next state, -1 where the phrase ends
-    root: np.ndarray  # language * n_symbols + symbol to the state of a phrase that begins with it
+    symbol: np.ndarray  # of a code point: 0 for letters that no sample has, 1 for the space
+    step: np.ndarray  # state * n_dense + symbol to the next state, -1 where the phrase ends; symbols below n_dense
+    rare: np.ndarray  # state * n_symbols + symbol, sorted: the steps of all other symbols
+    rare_step: np.ndarray  # the next state of each of them
     roots: np.ndarray  # each language's first state
     cost: np.ndarray  # bits that name a phrase in each language's sample
+    n_dense: int
     n_symbols: int
 
 
@@ -95,55 +97,98 @@ def build(samples: dict[str, list[str]], most_symbols: int = SAMPLE_SYMBOLS) ->
     for lang in langs:
         counts.update(texts[lang].tolist())
     del counts[32]
-    chosen = [c for c, _ in sorted(counts.items(), key=lambda x: (-x[1], x[0]))[:MOST_LETTERS]]
-    symbol = np.zeros(0x110000, np.uint8)
+    letters_found = [c for c, _ in sorted(counts.items(), key=lambda x: (-x[1], x[0]))]
+    n_symbols = len(letters_found) + 2
+    n = min(n_symbols, DENSE_LETTERS + 2)
+    symbol = np.zeros(0x110000, np.min_scalar_type(n_symbols))
     symbol[32] = 1
-    symbol[chosen] = np.arange(2, len(chosen) + 2)
-    n = len(chosen) + 2
-    step, root, roots, at = [], np.zeros((len(langs), n), np.int32), [], 0
-    for k, lang in enumerate(langs):
-        states = automaton([int(s) for s in symbol[texts[lang]] if s])
+    symbol[letters_found] = np.arange(2, n_symbols)
+    step, rare, roots, at = [], {}, [], 0
+    for lang in langs:
+        states = automaton(symbol[texts[lang]].tolist())
         rows = np.full((len(states), n), -1, np.int32)
         for i, x in enumerate(states):
             for c, to in x.items():
-                rows[i, c] = to + at
+                if c < n:
+                    rows[i, c] = to + at
+                else:
+                    rare[(i + at) * n_symbols + c] = to + at
         step.append(rows)
-        root[k] = np.where(rows[0] < 0, at, rows[0])
         roots.append(at)
         at += len(states)
+    rare[np.iinfo(np.int64).max] = -1  # no key lies beyond it
+    keys = sorted(rare)
+    steps = np.concatenate(step).ravel() if step else np.zeros(0, np.int32)
     cost = np.log2(np.array([max(2, len(texts[x])) for x in langs]))
-    return Model(langs, symbol, np.concatenate(step).ravel() if step else np.zeros(0, np.int32), root.ravel(), np.array(roots, np.int32), cost, n)
+    return Model(langs, symbol, steps, np.array(keys, np.int64), np.array([rare[k] for k in keys], np.int32), np.array(roots, np.int32), cost, n, n_symbols)
 
 
-def phrases(model: Model, texts: list[np.ndarray]) -> np.ndarray:
-    """Phrases of each text (its letters) by language: each is the longest match in the language's sample."""
-    n_langs, n = len(model.langs), model.n_symbols
-    owner = np.repeat(np.arange(len(texts)), [-(-len(t) // SEGMENT) for t in texts])
-    segments = [model.symbol[t[i : i + SEGMENT]] for t in texts for i in range(0, len(t), SEGMENT)]
-    out = np.zeros((len(texts), n_langs), np.int64)
-    if not segments:
-        return out
-    lengths = np.array([len(s) for s in segments])
-    order = np.argsort(-lengths, kind="stable")
-    lengths, owner = lengths[order], owner[order]
-    grid = np.zeros((len(segments), lengths[0]), np.uint8)
-    for row, k in enumerate(order.tolist()):
-        grid[row, : lengths[row]] = segments[k]
-    grid = np.ascontiguousarray(grid.T)
-    state = np.repeat(model.roots[:, None], len(segments), axis=1)
+def follow(model: Model, state: np.ndarray, c: np.ndarray, rare: np.ndarray) -> np.ndarray:
+    """The next state of each language (row) and text (column), -1 where the phrase ends; `rare` tells symbols beyond the dense table."""
+    to = model.step[state * model.n_dense + np.where(rare, 0, c)]
+    if rare.any():
+        keys = state[:, rare].astype(np.int64) * model.n_symbols + c[rare]
+        at = np.searchsorted(model.rare, keys)
+        to[:, rare] = np.where(model.rare[at] == keys, model.rare_step[at], -1)
+    return to
+
+
+def read(model: Model, grid: np.ndarray, lengths: np.ndarray, state: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Phrases that end within each segment (a column of grid, longest first) by language, and the state at its end."""
+    state, roots = state.copy(), model.roots[:, None]
     count = np.zeros(state.shape, np.int32)
-    first = (np.arange(n_langs, dtype=np.int32) * n)[:, None]
     alive = np.searchsorted(-lengths, -np.arange(lengths[0]), "left")  # segments longer than t
     for t in range(lengths[0]):
         m = alive[t]
         c = grid[t, :m].astype(np.int32)
-        to = model.step[state[:, :m] * n + c]
+        rare = c >= model.n_dense
+        to = follow(model, state[:, :m], c, rare)
         ended = to < 0
-        fresh = model.root[first + c]  # the root itself for a symbol that the sample lacks: a phrase of its own
+        fresh = follow(model, np.broadcast_to(roots, to.shape), c, rare)
+        lone = fresh < 0  # a symbol that the sample lacks: a phrase of its own
         count[:, :m] += ended
-        count[:, :m] += ended & (fresh == model.roots[:, None]) & (state[:, :m] != model.roots[:, None])
-        state[:, :m] = np.where(ended, fresh, to)
-    count += state != model.roots[:, None]
+        count[:, :m] += ended & lone & (state[:, :m] != roots)
+        state[:, :m] = np.where(ended, np.where(lone, roots, fresh), to)
+    return count, state
+
+
+def phrases(model: Model, texts: list[np.ndarray]) -> np.ndarray:
+    """Phrases of each text (its letters) by language: each is the longest match in the language's sample.
+
+    All segments are read side by side, at first each from a phrase's begin, then from the state at the end of the
+    one before. Parses from different places soon meet, so few are left after that; they are read again, of
+    each text the earliest at a time, until every segment began where the one before ended.
+    """
+    out = np.zeros((len(texts), len(model.langs)), np.int64)
+    places = [(k, i) for k, t in enumerate(texts) for i in range(0, len(t), SEGMENT)]
+    if not places or not model.langs:
+        return out
+    order = sorted(range(len(places)), key=lambda x: -min(SEGMENT, len(texts[places[x][0]]) - places[x][1]))
+    column = np.argsort(order)
+    owner, begin_at = np.array(places)[order].T
+    before = np.where(begin_at > 0, column[np.array(order) - 1], -1)
+    lengths = np.array([min(SEGMENT, len(texts[k]) - i) for k, i in zip(owner, begin_at, strict=True)])
+    grid = np.zeros((len(order), lengths[0]), model.symbol.dtype)
+    for x, (k, i) in enumerate(zip(owner, begin_at, strict=True)):
+        grid[x, : lengths[x]] = model.symbol[texts[k][i : i + SEGMENT]]
+    grid = np.ascontiguousarray(grid.T)
+    roots = model.roots[:, None]
+    begin = np.repeat(roots, len(order), axis=1)
+    count, end = read(model, grid, lengths, begin)
+    first = True
+    while True:
+        due = np.where(before >= 0, end[:, before], roots)
+        again = np.flatnonzero((due != begin).any(axis=0))
+        if not len(again):
+            break
+        if not first:
+            by_place = again[np.lexsort((begin_at[again], owner[again]))]
+            again = np.sort(by_place[np.unique(owner[by_place], return_index=True)[1]])
+        first = False
+        begin[:, again] = due[:, again]
+        count[:, again], end[:, again] = read(model, grid[:, again], lengths[again], begin[:, again])
+    last = begin_at + lengths == np.array([len(t) for t in texts])[owner]
+    count += last & (end != roots)
     np.add.at(out, owner, count.T)
     return out
 
@@ -199,9 +244,7 @@ def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     phrases that its sample's suffix automaton reads; the one with the fewest, each weighed by the bits that
     name a phrase in its sample, wins, the first by name in a tie. `score` (0 to 1) is the winner's share
     when the languages' bits per letter are taken as log-likelihoods of at most 64 letters. Null texts and
-    texts without a letter, as all texts where no language was learned, get 'und' and 0. Long texts are
-    parsed in segments of SEGMENT letters, which adds at most one phrase a segment for every language.
-    Repeated rows stay, other columns pass through, those named like the added ones are replaced.
+    texts without a letter, as all texts where no language was learned, get 'und' and 0. Repeated rows stay, other columns pass through, those named like the added ones are replaced.
     """
     shared = docs.sparkSession.sparkContext.broadcast(tuple(model))
 
