@@ -38,9 +38,13 @@ def length_stats(docs: DataFrame, text: str = "text") -> DataFrame:
 
 def composition(docs: DataFrame, text: str = "text") -> DataFrame:
     """Characters by class: letters, then digits, then white space, then punctuation and symbols, then the rest."""
-    digits = f"[{digit_class()}]"
-    kinds = {"letters": f"(?U){LETTERS}", "digits": f"(?U){digits}", "whitespace": f"(?U){SPACES}", "punctuation": f"(?U)(?!{digits}){SIGNS}"}
-    sums = docs.agg(F.sum(F.length(text)).cast("long").alias("chars"), *(F.sum(F.regexp_count(F.col(text), F.lit(p))).cast("long").alias(k) for k, p in kinds.items()))
+    kinds = {"letters": LETTERS, "digits": f"[{digit_class()}]", "whitespace": SPACES, "punctuation": SIGNS}
+    # Each class is taken out by runs, so that the next one reads only what is left.
+    rest, left = docs.select(F.length(text).alias("chars"), F.col(text).alias("left")), "left"
+    for kind, pattern in kinds.items():
+        rest = rest.withColumn("after", F.regexp_replace(left, f"(?U){pattern}+", ""))
+        rest = rest.withColumn(kind, F.length(left) - F.length("after")).withColumn(left, F.col("after")).drop("after")
+    sums = rest.agg(*(F.sum(k).cast("long").alias(k) for k in ("chars", *kinds)))
     return sums.withColumn("other", F.col("chars") - sum(F.col(k) for k in kinds))
 
 
