@@ -52,6 +52,7 @@ class Model(NamedTuple):
     rare: np.ndarray  # state * n_symbols + symbol, sorted: the steps of all other symbols
     rare_step: np.ndarray  # the next state of each of them
     roots: np.ndarray  # each language's first state
+    root: np.ndarray  # language * n_dense + symbol to the state of a phrase that begins with it, the root if none does
     cost: np.ndarray  # bits that name a phrase in each language's sample
     n_dense: int
     n_symbols: int
@@ -104,7 +105,8 @@ def build(samples: dict[str, list[str]], most_symbols: int = SAMPLE_SYMBOLS) ->
     symbol[32] = 1
     symbol[letters_found] = np.arange(2, n_symbols)
     step, rare, roots, at = [], {}, [], 0
-    for lang in langs:
+    root = np.zeros((len(langs), n), np.int32)
+    for k, lang in enumerate(langs):
         states = automaton(symbol[texts[lang]].tolist())
         rows = np.full((len(states), n), -1, np.int32)
         for i, x in enumerate(states):
@@ -114,41 +116,44 @@ def build(samples: dict[str, list[str]], most_symbols: int = SAMPLE_SYMBOLS) ->
                 else:
                     rare[(i + at) * n_symbols + c] = to + at
         step.append(rows)
+        root[k] = np.where(rows[0] < 0, at, rows[0])
         roots.append(at)
         at += len(states)
     rare[np.iinfo(np.int64).max] = -1  # no key lies beyond it
     keys = sorted(rare)
     steps = np.concatenate(step).ravel() if step else np.zeros(0, np.int32)
     cost = np.log2(np.array([max(2, len(texts[x])) for x in langs]))
-    return Model(langs, symbol, steps, np.array(keys, np.int64), np.array([rare[k] for k in keys], np.int32), np.array(roots, np.int32), cost, n, n_symbols)
+    return Model(langs, symbol, steps, np.array(keys, np.int64), np.array([rare[k] for k in keys], np.int32), np.array(roots, np.int32), root.ravel(), cost, n, n_symbols)
 
 
-def follow(model: Model, state: np.ndarray, c: np.ndarray, rare: np.ndarray) -> np.ndarray:
-    """The next state of each language (row) and text (column), -1 where the phrase ends; `rare` tells symbols beyond the dense table."""
-    to = model.step[state * model.n_dense + np.where(rare, 0, c)]
-    if rare.any():
-        keys = state[:, rare].astype(np.int64) * model.n_symbols + c[rare]
-        at = np.searchsorted(model.rare, keys)
-        to[:, rare] = np.where(model.rare[at] == keys, model.rare_step[at], -1)
-    return to
+def rare_steps(model: Model, state: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """The next states for symbols beyond the dense table, -1 where the phrase ends."""
+    keys = state.astype(np.int64) * model.n_symbols + c
+    at = np.searchsorted(model.rare, keys)
+    return np.where(model.rare[at] == keys, model.rare_step[at], -1)
 
 
 def read(model: Model, grid: np.ndarray, lengths: np.ndarray, state: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Phrases that end within each segment (a column of grid, longest first) by language, and the state at its end."""
     state, roots = state.copy(), model.roots[:, None]
     count = np.zeros(state.shape, np.int32)
+    first = (np.arange(len(roots), dtype=np.int32) * model.n_dense)[:, None]
+    some_rare = bool((grid >= model.n_dense).any())
     alive = np.searchsorted(-lengths, -np.arange(lengths[0]), "left")  # segments longer than t
     for t in range(lengths[0]):
         m = alive[t]
         c = grid[t, :m].astype(np.int32)
-        rare = c >= model.n_dense
-        to = follow(model, state[:, :m], c, rare)
+        dense = np.where(c < model.n_dense, c, 0) if some_rare else c
+        to = model.step[state[:, :m] * model.n_dense + dense]
+        fresh = model.root[first + dense]
+        if some_rare and (rare := np.flatnonzero(c >= model.n_dense)).size:
+            to[:, rare] = rare_steps(model, state[:, rare], c[rare])
+            fresh[:, rare] = np.maximum(rare_steps(model, roots, c[rare]), roots)
         ended = to < 0
-        fresh = follow(model, np.broadcast_to(roots, to.shape), c, rare)
-        lone = fresh < 0  # a symbol that the sample lacks: a phrase of its own
         count[:, :m] += ended
-        count[:, :m] += ended & lone & (state[:, :m] != roots)
-        state[:, :m] = np.where(ended, np.where(lone, roots, fresh), to)
+        # A symbol that the sample lacks is a phrase of its own.
+        count[:, :m] += ended & (fresh == roots) & (state[:, :m] != roots)
+        state[:, :m] = np.where(ended, fresh, to)
     return count, state
 
 
