@@ -262,7 +262,7 @@ def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
 
         return work
 
-    return add_columns(docs, text, FOUND, make, most=1 << 22)
+    return add_columns(docs, text, FOUND, make, most=1 << 21)
 
 
 def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
