@@ -81,7 +81,7 @@ STAGES = [
     ("benchmark", drop_benchmark),
     ("encode", encode),
 ]
-#: Language identification and BPE are beyond SQL; tests compare the stages with brute force.
+#: Language identification and BPE are beyond SQL. Tests hold the operators against brute force, the stages only against planted cases.
 ORACLE_SQL = None
 
 
