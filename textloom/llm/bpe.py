@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import add_columns, pieces, table
+from .common import add_columns, pieces, table, tidy
 
 RANKS_FILE = "byte_bpe_multi_50k.tiktoken"
 #: Characters of text whose words are replayed together.
@@ -210,7 +210,7 @@ def decode(coded: DataFrame, ids: str = "ids", out: str = "decoded", ranks_path:
         for batch in batches:
             column = batch.column(batch.schema.get_field_index(ids))
             lengths = [n or 0 for n in column.value_lengths().to_pylist()]
-            for part, _ in pieces(batch, [range(n) for n in lengths], 1 << 19):
+            for part in pieces(batch, lengths, 1 << 19):
                 rows = part.column(part.schema.get_field_index(ids))
                 flat = rows.flatten().to_numpy(zero_copy_only=False).tolist()
                 found, begin = [], 0
@@ -220,7 +220,7 @@ def decode(coded: DataFrame, ids: str = "ids", out: str = "decoded", ranks_path:
                 arrays = [part.column(part.schema.get_field_index(c)) for c in kept]
                 yield pa.RecordBatch.from_arrays([*arrays, pa.array(found, pa.binary())], names=schema.names)
 
-    return coded.select(*(F.col(f"`{c}`") for c in kept)).mapInArrow(run, schema)
+    return coded.select(*(F.col(f"`{c}`") for c in kept)).mapInArrow(tidy(run), schema)
 
 
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

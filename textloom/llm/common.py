@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -63,13 +65,28 @@ def forget(df: DataFrame) -> None:
             path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def pieces(batch: pa.RecordBatch, texts: list, most: int) -> Iterator[tuple[pa.RecordBatch, list]]:
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run, after which the worker returns freed memory to the system: it waits for its next task beside a JVM that may need it."""
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc alone has it
+            if trim:
+                trim(0)
+
+    return wrapped
+
+
+def pieces(batch: pa.RecordBatch, lengths: list[int], most: int) -> Iterator[pa.RecordBatch]:
     """Runs of rows holding about `most` units of text, so that working memory stays small."""
     begin = held = 0
-    for k, text in enumerate(texts):
-        held += 64 + (len(text) if text else 0)
-        if held >= most or k == len(texts) - 1:
-            yield batch.slice(begin, k + 1 - begin), texts[begin : k + 1]
+    for k, n in enumerate(lengths):
+        held += 64 + n
+        if held >= most or k == len(lengths) - 1:
+            yield batch.slice(begin, k + 1 - begin)
             begin, held = k + 1, 0
 
 
@@ -97,13 +114,14 @@ def add_columns(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = make()
         for batch in batches:
-            column = batch.column(batch.schema.get_field_index(text))
-            values = (column.cast(pa.binary()) if binary else column).to_pylist()
-            for part, texts in pieces(batch, values, most):
-                arrays = [part.column(part.schema.get_field_index(c)) for c in kept] + work(texts)
+            at = batch.schema.get_field_index(text)
+            lengths = (pc.binary_length if binary else pc.utf8_length)(batch.column(at)).fill_null(0).to_pylist()
+            for part in pieces(batch, lengths, most):
+                column = part.column(at)  # only this run's texts become Python's
+                arrays = [part.column(part.schema.get_field_index(c)) for c in kept] + work((column.cast(pa.binary()) if binary else column).to_pylist())
                 yield pa.RecordBatch.from_arrays(arrays, names=out.names)
 
-    return df.mapInArrow(run, out)
+    return df.mapInArrow(tidy(run), out)
 
 
 class WordHashes(dict):

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ASCII_LOWER, U64, Powers, Windows, WordHashes, stored, table
+from .common import ASCII_LOWER, U64, Powers, Windows, WordHashes, stored, table, tidy
 from .components import components
 
 SIZE, PERCENT = 4, 85
@@ -374,7 +374,7 @@ def group_similar(docs: DataFrame, doc: str = "doc_id", text: str = "text", size
     pairs. A place with more than BLOCK shingles is split into blocks that are joined two by two.
     """
     rows = docs.select(F.col(f"`{doc}`").cast("long").alias("doc"), F.col(f"`{text}`").cast("string").alias("text"))
-    signed = stored(rows.mapInArrow(_signatures(size), "doc long, n long, set long"))
+    signed = stored(rows.mapInArrow(tidy(_signatures(size)), "doc long, n long, set long"))
     known = signed.filter("doc is not null and n > 0")
     reps = known.groupBy("set").agg(F.min("doc").alias("rep_doc"), F.max("n").alias("n"))
     same = known.join(reps.hint("merge"), "set").select(F.col("doc").alias("a"), F.col("rep_doc").alias("b")).filter("a <> b").distinct()
@@ -390,11 +390,11 @@ def similar_links(rows: DataFrame, reps: DataFrame, size: int, percent: int) ->
     Sets are named by signatures while they meet, so no text moves before it is known which sets may link; then one
     document's text stands for each of those.
     """
-    common_rows = rows.select("text").mapInArrow(_common(size, COMMON), "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "h").limit(MOST_COMMON).collect()
+    common_rows = rows.select("text").mapInArrow(tidy(_common(size, COMMON)), "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "h").limit(MOST_COMMON).collect()
     common = (np.array([r.h for r in common_rows], np.int64).view(U64), np.array([r.n for r in common_rows], np.int64))
     chars = rows.agg(F.sum(F.length("text"))).first()[0] or 0
     buckets = max(64, min(1 << 20, chars // 16_000_000))
-    packed = rows.select("text").mapInArrow(_prefixes(size, percent, common, buckets), "bucket long, h binary, owner binary, sets binary")
+    packed = rows.select("text").mapInArrow(tidy(_prefixes(size, percent, common, buckets)), "bucket long, h binary, owner binary, sets binary")
     met = packed.groupBy("bucket").applyInPandas(_places(percent), "at long, rep long, weight long")
     met = stored(met.groupBy("at", "rep").agg(F.sum("weight").alias("w")).filter(F.col("w") >= SHARED).select("at", "rep"))
     # Copies of one text meet at one place, not two by two: each pair goes to the smallest set that its smaller one meets.
