@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ASCII_LOWER, U64, Powers, Windows, WordHashes, stored, table, tidy
+from .common import ASCII_LOWER, U64, Powers, Windows, WordHashes, give_back, stored, table, tidy
 from .components import components
 
 SIZE, PERCENT = 4, 85
@@ -318,8 +318,9 @@ def hopeful_paths(keys: list[int], sets: list[np.ndarray], marks: list[bool], pe
     links with none, and goes before the others are counted again.
     """
     sizes = np.array([len(x) for x in sets], np.int64)
-    owner = np.repeat(np.arange(len(sets)), sizes)
+    owner = np.repeat(np.arange(len(sets), dtype=np.int32), sizes)
     _, name = np.unique(np.concatenate([np.zeros(0, U64), *sets]), return_inverse=True)
+    name = name.astype(np.int32)
     least = -(-percent * sizes // 100)
     while True:
         held = np.bincount(name, minlength=1)
@@ -329,12 +330,13 @@ def hopeful_paths(keys: list[int], sets: list[np.ndarray], marks: list[bool], pe
         if keep.all():
             break
         owner, name = owner[keep], name[keep]
-    rank = np.empty(len(held), np.int64)
+    rank = np.empty(len(held), np.int32)
     rank[np.argsort(held, kind="stable")] = np.arange(len(held))
+    one_each = np.array(range(len(held)), object)  # copies' paths share the numbers themselves
     order = np.lexsort((rank[name], owner))
     owner, ranks = owner[order], rank[name][order]
     alive, begin = np.unique(owner, return_index=True)
-    paths = [x.tolist() for x in np.split(ranks, begin[1:])] if len(alive) else []
+    paths = [one_each[x].tolist() for x in np.split(ranks, begin[1:])] if len(alive) else []
     at = alive.tolist()
     return [keys[k] for k in at], paths, sizes[alive].tolist(), [marks[k] for k in at]
 
@@ -352,8 +354,14 @@ def _join(size: int, percent: int):
             sets.append(found)
             marks.append(bool(side))
         one_block = group["i"].iloc[0] == group["j"].iloc[0]
+        many = sum(map(len, sets))
         keys, paths, sizes, marks = hopeful_paths(keys, sets, marks, percent)
-        return pd.DataFrame(tree_join(keys, paths, percent, None if one_block else marks, sizes), columns=["a", "b"], dtype="int64")
+        del sets
+        links = tree_join(keys, paths, percent, None if one_block else marks, sizes)
+        if 4 * many > BLOCK:
+            del paths
+            give_back()
+        return pd.DataFrame(links, columns=["a", "b"], dtype="int64")
 
     return run
 
