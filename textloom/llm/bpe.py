@@ -18,7 +18,7 @@ from .common import add_columns, pieces, table, tidy
 
 RANKS_FILE = "byte_bpe_multi_50k.tiktoken"
 #: Characters of text whose words are replayed together.
-SHARD = 1 << 22
+SHARD = 1 << 21
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
