@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import gc
 import os
 import uuid
 from collections.abc import Callable, Iterator
@@ -48,10 +49,15 @@ def scratch_dir(spark: SparkSession) -> str:
 
 
 def stored(df: DataFrame) -> DataFrame:
-    """df written to the shared folder and read back: no lineage, and safe against lost executors."""
+    """df written to the shared folder and read back: no lineage, and safe against lost executors.
+
+    Spark deletes the shuffles and broadcasts of what was written when the driver collects garbage, so that is asked for.
+    """
     spark = df.sparkSession
     path = scratch_dir(spark)
     df.write.parquet(path)
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 
