@@ -500,3 +500,36 @@ def test_katz_query(spark, odd, tmp_path):
     for r in rows:
         assert (r.n_tokens, r.n_known, r.train_tokens) == want[r.doc_id][:3] and r.held_out == held[r.doc_id]
         assert (r.base_score, r.score) == pytest.approx(want[r.doc_id][3:])
+
+
+@pytest.mark.parametrize("percent", [50, 80, 85, 97, 100])
+def test_jaccard_parts(percent):
+    """Linked sets of any sizes have a part in common; few of the sets that share a passage do."""
+    rng = np.random.default_rng(percent)
+    parts = jaccard.Parts(percent)
+    fresh = lambda n: rng.integers(0, 1 << 63, n, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    for _ in range(3000):
+        n = int(np.exp(rng.uniform(0, 7)))
+        a = fresh(n)
+        gone, new = rng.integers(0, 1 + n * (100 - percent) // 100), rng.integers(0, 2 + n * (100 - percent) // percent)
+        b = np.unique(np.concatenate((a[gone:], fresh(new))))
+        both = n - gone
+        if 0 < 100 * both >= percent * (n + new) and gone + new:
+            assert {*parts.of(np.unique(a)).tolist()} & {*parts.of(b).tolist()}
+    boilerplate = fresh(60)
+    if percent >= 80:
+        keys = Counter(k for _ in range(200) for k in parts.of(np.unique(np.concatenate((boilerplate, fresh(400))))).tolist())
+        assert max(keys.values(), default=1) <= 40  # of 200, which all have each shingle of the passage
+
+
+def test_jaccard_passage_is_no_meeting_place(spark):
+    """Documents that share a passage, but little else, don't meet, however many they are."""
+    rng = random.Random(8)
+    passage = " ".join(f"p{k}" for k in range(40))
+    texts = [passage + " " + " ".join(f"w{rng.randrange(1 << 40)}" for _ in range(300)) for _ in range(120)]
+    rows = docs_of(spark, texts).select(F.col("doc_id").alias("doc"), "text")
+    packed = rows.select("text").mapInArrow(jaccard._part_keys(4, 85, 4), "bucket long, high binary, low binary, sets binary")
+    assert packed.groupBy("bucket").applyInPandas(jaccard._places, "at long, rep long").distinct().count() < 20
+    some = docs_of(spark, texts).filter("doc_id % 3 = 0").select("doc_id")
+    assert {r.doc for r in jaccard.among(rows, some.toDF("doc"), "doc").collect()} >= set(range(0, 120, 3))
+    assert jaccard.among(rows, some.toDF("doc"), "doc").count() < 60

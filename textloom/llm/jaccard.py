@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,18 +12,14 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ASCII_LOWER, U64, Powers, Windows, WordHashes, give_back, stored, table, tidy
+from .common import ASCII_LOWER, U64, Powers, Windows, WordHashes, give_back, mix, stored, table, tidy
 from .components import components
 
 SIZE, PERCENT = 4, 85
-#: Shingles that this share of a task's documents holds are put last in the global order; it changes no result.
-COMMON = 0.0005
-#: Common shingles known to all tasks, at most; further ones stand by their hash.
-MOST_COMMON = 100_000
-#: Sets meet that share so many of their first shingles; prefixes are longer by as much, so that linked ones do.
-SHARED = 4
-#: Of a shingle that so many sets begin with at most, each two count what they share; more meet at one place at once.
-FEW = 16
+#: Of the parts of a set, one of so many and one more need not leave for the exchange: those of fewest shingles.
+SPARE = 8
+#: Bits of the map that tells which documents' texts may be asked for.
+BITS = 1 << 24
 #: Shingles of a group of candidates that one task joins; a larger group is split into blocks.
 BLOCK = 2_000_000
 
@@ -44,20 +41,57 @@ class Shingles:
         return np.unique(Windows(self.hashes.of(words), self.powers).all(min(self.size, len(words))))
 
 
-class Order:
-    """The global order of shingles: rare ones by hash, then the common ones by how many documents hold them."""
+def parts_of(end: int, percent: int) -> tuple[int, int]:
+    """(parts, spare): into how many parts sets are cut that meet a set of a class that stops before `end`, and how many of
+    them need not leave.
 
-    def __init__(self, common: np.ndarray, counts: np.ndarray):
-        by_hash = np.argsort(common)
-        self.common, self.counts = common[by_hash], counts[by_hash]
+    Linked sets a <= b of which the smaller is in that class have (a + b) * (100 - percent) / (100 + percent) shingles at most that
+    are in one of them alone. Each spoils a part, so spare + 1 parts at least are the same in both. No parts: only
+    equal sets link.
+    """
+    least = end - 1
+    apart = (least + 100 * least // percent) * (100 - percent) // (100 + percent)
+    if not apart:
+        return 0, 0
+    spare = 1 + apart // (SPARE - 1)
+    return apart + spare + 1, spare
+
+
+class Parts:
+    """Keys of a set's parts: linked sets have one in common."""
 
-    def sort(self, shingles: np.ndarray) -> np.ndarray:
-        if not len(self.common) or not len(shingles):
+    def __init__(self, percent: int):
+        self.percent, self.ends, self.plans = percent, [1], {}
+
+    def plan(self, n: int) -> list[tuple[int, int, int]]:
+        """(class, parts, spare) for sets of n shingles: as the larger of two, and as the one whose class is the smaller's.
+
+        Classes are such that linked sets are of one class or of neighbouring ones.
+        """
+        ends = self.ends
+        while ends[-1] <= n:
+            ends.append(100 * ends[-1] // self.percent + 1)
+        own = bisect_right(ends, n)
+        if own not in self.plans:
+            self.plans[own] = [(k, *parts_of(ends[k], self.percent)) for k in (own - 1, own) if k]
+        return self.plans[own]
+
+    def of(self, shingles: np.ndarray) -> np.ndarray:
+        """From sorted hashes. A part holds the shingles of a range of hashes, and its key is told by all of them. Parts of fewest
+        shingles stay behind, in one order for all sets, so the last part by this order that two sets share leaves from both."""
+        if not len(shingles):
             return shingles
-        at = np.minimum(np.searchsorted(self.common, shingles), len(self.common) - 1)
-        last = self.common[at] == shingles
-        tail = shingles[last]
-        return np.concatenate((shingles[~last], tail[np.lexsort((tail, self.counts[at][last]))]))
+        out = []
+        sums = np.zeros(len(shingles) + 1, U64)
+        np.cumsum(mix(shingles), out=sums[1:])
+        for number, parts, spare in self.plan(len(shingles)):
+            if parts:
+                part = (((shingles >> U64(32)) * U64(parts)) >> U64(32)).astype(np.int64)
+                ends = np.cumsum(np.bincount(part, minlength=parts))
+                counts = np.diff(ends, prepend=0)
+                keys = mix((sums[ends] - sums[ends - counts]) ^ mix(np.arange(parts, dtype=U64) + U64(number << 32)))
+                out.append(keys[np.lexsort((keys, counts))[spare:]])
+        return np.concatenate(out) if out else shingles[:0]
 
 
 class Node:
@@ -206,43 +240,11 @@ def _signatures(size: int):
     return run
 
 
-def _common(size: int, share: float):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingles, docs, held, waiting = Shingles(size), 0, [], 0
-        seen, counts = np.zeros(0, U64), np.zeros(0, np.int64)
-
-        def fold() -> None:
-            nonlocal seen, counts, held, waiting
-            values, new = np.unique(np.concatenate(held), return_counts=True)
-            values, new = values[new > 1], new[new > 1]
-            both, at = np.unique(np.concatenate((seen, values)), return_inverse=True)
-            counts = np.bincount(at, np.concatenate((counts, new)), len(both)).astype(np.int64)
-            seen, held, waiting = both, [], 0
-            if len(seen) > 1_000_000:
-                keep = np.argsort(-counts)[:500_000]
-                keep.sort()
-                seen, counts = seen[keep], counts[keep]
-
-        for batch in batches:
-            for text in batch.column(0).cast(pa.binary()):
-                docs += 1
-                held.append(shingles.of(text.as_py()))
-                waiting += len(held[-1])
-                if waiting > 4_000_000:
-                    fold()
-        if held:
-            fold()
-        keep = counts >= max(8, share * docs)
-        yield pa.RecordBatch.from_arrays([pa.array(seen[keep].view(np.int64)), pa.array(counts[keep])], names=["h", "n"])
-
-    return run
-
-
-def _prefixes(size: int, percent: int, common: tuple, buckets: int):
-    """The first shingles of each set, packed by the bucket of their hash."""
+def _part_keys(size: int, percent: int, buckets: int):
+    """The keys of each set's parts, packed by their bucket: 39 bits of each, and whether it is a set's first there."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingles, order = Shingles(size), Order(*common)
+        shingles, parts = Shingles(size), Parts(percent)
         held, owners, seen, waiting = [], [], set(), 0
 
         def flush() -> pa.RecordBatch:
@@ -253,9 +255,11 @@ def _prefixes(size: int, percent: int, common: tuple, buckets: int):
             by_bucket = np.argsort(bucket, kind="stable")
             rows = []
             for part in np.split(by_bucket, np.flatnonzero(np.diff(bucket[by_bucket])) + 1):
-                own, local = np.unique(owner[part], return_inverse=True)
-                rows.append((int(bucket[part[0]]), hashes[part].tobytes(), local.astype(np.uint32).tobytes(), table_[own].tobytes()))
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), *[pa.binary()] * 3), strict=True)], names=["bucket", "h", "owner", "sets"])
+                own, keys = owner[part], hashes[part]
+                first = np.concatenate(([True], own[1:] != own[:-1]))
+                low = (keys >> U64(24)).astype(np.uint8) << np.uint8(1) | first
+                rows.append((int(bucket[part[0]]), (keys >> U64(32)).astype(np.uint32).tobytes(), low.astype(np.uint8).tobytes(), table_[own[first]].tobytes()))
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), *[pa.binary()] * 3), strict=True)], names=["bucket", "high", "low", "sets"])
 
         for batch in batches:
             for text in batch.column(0).cast(pa.binary()):
@@ -264,11 +268,13 @@ def _prefixes(size: int, percent: int, common: tuple, buckets: int):
                 if not name or name in seen:
                     continue
                 seen.add(name)
-                path = order.sort(found)
-                held.append(path[: len(path) - least_overlap(len(path), percent) + SHARED])
-                owners.append((name, len(path)))
-                waiting += len(held[-1])
-                if waiting > 400_000:
+                keys = parts.of(found)
+                if not len(keys):
+                    continue
+                held.append(keys)
+                owners.append(name)
+                waiting += len(keys)
+                if waiting > 800_000:
                     yield flush()
                     held, owners, seen, waiting = [], [], set(), 0
         if held:
@@ -277,37 +283,16 @@ def _prefixes(size: int, percent: int, common: tuple, buckets: int):
     return run
 
 
-def _places(percent: int):
-    """(at, rep, weight): sets that share a shingle meet at the smaller one of each two if they are FEW at most, or else at
-    the smallest of all. Weights add up to SHARED where they share enough; sets of no chain of lengths that may
-    link don't meet."""
-
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        hashes = np.concatenate([np.frombuffer(x, U64) for x in group["h"]])
-        sets = [np.frombuffer(x, np.int64).reshape(-1, 2) for x in group["sets"]]
-        base = np.cumsum([0, *(len(x) for x in sets)])
-        owner = np.concatenate([np.frombuffer(x, np.uint32).astype(np.int64) + b for x, b in zip(group["owner"], base, strict=False)])
-        sets = np.concatenate(sets)
-        rep, n = sets[owner, 0], sets[owner, 1]
-        order = np.lexsort((rep, n, hashes))
-        hashes, rep, n = hashes[order], rep[order], n[order]
-        once = np.concatenate(([True], (hashes[1:] != hashes[:-1]) | (rep[1:] != rep[:-1])))  # sets that several tasks sent
-        hashes, rep, n = hashes[once], rep[once], n[once]
-        begin = np.concatenate(([True], (hashes[1:] != hashes[:-1]) | (100 * n[:-1] < percent * n[1:])))
-        start = np.flatnonzero(begin)
-        size = np.diff(np.append(start, len(begin)))
-        least = np.minimum.reduceat(rep, start)
-        at, many = np.repeat(least, size), np.repeat(size, size)
-        star = (many > FEW) & (at != rep)
-        found = [(at[star], rep[star], np.full(int(star.sum()), SHARED))]
-        for apart in range(1, min(FEW, len(rep))):  # of few holders each two meet, so that sets that share one shingle by chance don't count more
-            i = np.flatnonzero((many <= FEW)[apart:] & (at[apart:] == at[: len(at) - apart]) & (np.repeat(start, size)[apart:] == np.repeat(start, size)[: len(at) - apart]))
-            a, b = rep[i], rep[i + apart]
-            found.append((np.minimum(a, b), np.maximum(a, b), np.where(np.minimum(n[i], n[i + apart]) < 4 * SHARED, SHARED, 1)))
-        pairs = pd.DataFrame({name: np.concatenate([x[k] for x in found]) for k, name in enumerate(("at", "rep", "weight"))}).astype("int64")
-        return pairs.groupby(["at", "rep"], as_index=False)["weight"].sum()
-
-    return run
+def _places(group: pd.DataFrame) -> pd.DataFrame:
+    """(at, rep): sets that share a part meet at the smallest of them."""
+    low = np.concatenate([np.frombuffer(x, np.uint8) for x in group["low"]])
+    hashes = np.concatenate([np.frombuffer(x, np.uint32) for x in group["high"]]).astype(U64) << U64(7) | (low >> np.uint8(1)).astype(U64)
+    rep = np.concatenate([np.frombuffer(x, np.int64) for x in group["sets"]])[np.cumsum(low & np.uint8(1), dtype=np.int64) - 1]
+    order = np.lexsort((rep, hashes))
+    hashes, rep = hashes[order], rep[order]
+    start = np.flatnonzero(np.concatenate(([True], hashes[1:] != hashes[:-1])))
+    at = np.repeat(rep[start], np.diff(np.append(start, len(hashes))))
+    return pd.DataFrame({"at": at[at != rep], "rep": rep[at != rep]}).drop_duplicates()
 
 
 def hopeful_paths(keys: list[int], sets: list[np.ndarray], marks: list[bool], percent: int) -> tuple[list[int], list[list[int]], list[int], list[bool]]:
@@ -375,10 +360,11 @@ def group_similar(docs: DataFrame, doc: str = "doc_id", text: str = "text", size
     row's own included; rows of one doc are one node, so repeated rows share a component. A row with a null doc
     has a null component and links nothing. doc must be an integer; other columns don't matter.
 
-    Rows of equal sets are one from the start. Of each set the first n - least_overlap + 1 shingles in a global
-    order leave for a shuffle; sets that share one of them meet at the smallest set of those that hold it, which
-    gathers near copies at one place however many shingles they share. There a prefix tree joins the whole
-    sets. Sets in a group already are not compared again, so a group of m copies yields m - 1 links, never all
+    Rows of equal sets are one from the start. Each set is cut into parts by its shingles' hashes, more of them than two
+    linked sets can differ in, so that linked sets have a part of several shingles in common (see parts_of). The parts'
+    keys leave for a shuffle; sets that share one meet at the smallest set of those that hold it, which
+    gathers near copies at one place however many parts they share. Sets that share a few shingles, by chance
+    or for a passage, don't meet. At its place a prefix tree joins the whole sets. Sets in a group already are not compared again, so a group of m copies yields m - 1 links, never all
     pairs. A place with more than BLOCK shingles is split into blocks that are joined two by two.
     """
     rows = docs.select(F.col(f"`{doc}`").cast("long").alias("doc"), F.col(f"`{text}`").cast("string").alias("text"))
@@ -392,19 +378,26 @@ def group_similar(docs: DataFrame, doc: str = "doc_id", text: str = "text", size
     return out.select("doc", "n_shingles", F.coalesce("root", "doc").alias("component_id"))
 
 
+def among(rows: DataFrame, some: DataFrame, key: str) -> DataFrame:
+    """The rows whose key some has, and a few others: by a bitmap of BITS hashes, so that the rest need not be shuffled for a join."""
+    at = F.pmod(F.xxhash64(F.col(key)), F.lit(BITS))
+    marked = some.select(at.alias("at")).groupBy(F.bitmap_bucket_number("at").alias("_part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("_bits"))
+    found = rows.withColumn("_at", at).withColumn("_part", F.bitmap_bucket_number("_at")).join(F.broadcast(marked), "_part")  # BITS / 8 bytes
+    place = F.bitmap_bit_position("_at")
+    byte = F.conv(F.hex(F.substring(F.col("_bits"), (place / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    return found.filter(F.call_function("shiftright", byte, (place % 8).cast("int")).bitwiseAND(F.lit(1)) == 1).select(*rows.columns)
+
+
 def similar_links(rows: DataFrame, reps: DataFrame, size: int, percent: int) -> DataFrame:
     """Links (a, b) of documents that span the groups of distinct sets: reps has (set, rep_doc, n) for each set.
 
     Sets are named by signatures while they meet, so no text moves before it is known which sets may link; then one
     document's text stands for each of those.
     """
-    common_rows = rows.select("text").mapInArrow(tidy(_common(size, COMMON)), "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "h").limit(MOST_COMMON).collect()
-    common = (np.array([r.h for r in common_rows], np.int64).view(U64), np.array([r.n for r in common_rows], np.int64))
     chars = rows.agg(F.sum(F.length("text"))).first()[0] or 0
     buckets = max(64, min(1 << 20, chars // 16_000_000))
-    packed = rows.select("text").mapInArrow(tidy(_prefixes(size, percent, common, buckets)), "bucket long, h binary, owner binary, sets binary")
-    met = packed.groupBy("bucket").applyInPandas(_places(percent), "at long, rep long, weight long")
-    met = stored(met.groupBy("at", "rep").agg(F.sum("weight").alias("w")).filter(F.col("w") >= SHARED).select("at", "rep"))
+    packed = rows.select("text").mapInArrow(tidy(_part_keys(size, percent, buckets)), "bucket long, high binary, low binary, sets binary")
+    met = stored(packed.groupBy("bucket").applyInPandas(_places, "at long, rep long").distinct())
     # Copies of one text meet at one place, not two by two: each pair goes to the smallest set that its smaller one meets.
     nearest = met.union(met.select("rep", "at")).groupBy("at").agg(F.min("rep").alias("least")).withColumn("least", F.least("at", "least"))
     moved = met.join(nearest.hint("merge"), "at")
@@ -417,7 +410,7 @@ def similar_links(rows: DataFrame, reps: DataFrame, size: int, percent: int) ->
     pairs = spread.withColumn("own", mine).withColumn("x", other).select(
         "at", "rep", F.col("rep_doc").alias("doc"), F.least("own", "x").alias("i"), F.greatest("own", "x").alias("j"), (F.col("own") > F.col("x")).alias("side")
     )
-    work = pairs.join(rows.hint("merge"), "doc").select("at", "i", "j", "rep", "side", "text")
+    work = pairs.join(among(rows, sized.select(F.col("rep_doc").alias("doc")), "doc").hint("merge"), "doc").select("at", "i", "j", "rep", "side", "text")
     found = work.groupBy("at", "i", "j").applyInPandas(_join(size, percent), "a long, b long")
     for end in ("a", "b"):
         found = found.join(reps.select(F.col("set").alias(end), "rep_doc").hint("merge"), end).drop(end).withColumnRenamed("rep_doc", end)
