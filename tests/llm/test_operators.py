@@ -533,3 +533,16 @@ def test_jaccard_passage_is_no_meeting_place(spark):
     some = docs_of(spark, texts).filter("doc_id % 3 = 0").select("doc_id")
     assert {r.doc for r in jaccard.among(rows, some.toDF("doc"), "doc").collect()} >= set(range(0, 120, 3))
     assert jaccard.among(rows, some.toDF("doc"), "doc").count() < 60
+
+
+def test_similar_stage_meets_by_parts(spark):
+    """By the pipeline's 5 words and 0.8, too, sets that have single frequent shingles in common don't meet, and near copies do."""
+    rng = random.Random(9)
+    fresh = lambda n: " ".join(f"w{rng.randrange(1 << 40)}" for _ in range(n))
+    frequent = [fresh(5) for _ in range(20)]
+    texts = [" ".join(f"{fresh(30)} {rng.choice(frequent)}" for _ in range(10)) for _ in range(120)]
+    near = [x.replace(" w", " v", 4) for x in texts[:5]]
+    keys = docs_of(spark, texts).select("text").mapInArrow(jaccard._part_keys(5, 80, 4), "bucket long, high binary, low binary, sets binary")
+    assert keys.groupBy("bucket").applyInPandas(jaccard._places, "at long, rep long").distinct().count() < 30
+    rows = jaccard.group_similar(docs_of(spark, texts + near), size=5, percent=80).collect()
+    assert {r.doc: r.component_id for r in rows} == {k: k % 120 for k in range(125)}

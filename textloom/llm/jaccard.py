@@ -363,8 +363,8 @@ def group_similar(docs: DataFrame, doc: str = "doc_id", text: str = "text", size
     Rows of equal sets are one from the start. Each set is cut into parts by its shingles' hashes, more of them than two
     linked sets can differ in, so that linked sets have a part of several shingles in common (see parts_of). The parts'
     keys leave for a shuffle; sets that share one meet at the smallest set of those that hold it, which
-    gathers near copies at one place however many parts they share. Sets that share a few shingles, by chance
-    or for a passage, don't meet. At its place a prefix tree joins the whole sets. Sets in a group already are not compared again, so a group of m copies yields m - 1 links, never all
+    gathers near copies at one place however many parts they share. Few sets meet that share single shingles
+    by chance; a common passage may still bring more of them together. At its place a prefix tree joins the whole sets. Sets in a group already are not compared again, so a group of m copies yields m - 1 links, never all
     pairs. A place with more than BLOCK shingles is split into blocks that are joined two by two.
     """
     rows = docs.select(F.col(f"`{doc}`").cast("long").alias("doc"), F.col(f"`{text}`").cast("string").alias("text"))
