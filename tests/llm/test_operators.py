@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import os
 import random
 import re
 import zlib
@@ -237,6 +238,40 @@ def test_lines_of_one_original(spark):
     assert got == want and 20 < len(want) < 120
 
 
+def test_lines_that_leave_an_original_at_several_places(spark, monkeypatch):
+    """Long lines with a few changed words each: few pairs are verified, and none that is near is lost."""
+    rng = random.Random(9)
+    base = ["".join(rng.choice("abcdefghij") for _ in range(rng.randrange(2, 8))) for _ in range(200)]
+    texts = [" ".join(base)]
+    for _ in range(240):
+        words = list(base)
+        for at in rng.sample(range(len(words)), rng.randrange(1, 5)):
+            words[at] = "".join(rng.choice("xyz") for _ in range(rng.randrange(3, 6))) + words[at][:2]
+        texts.append(" ".join(words))
+    for line in rng.sample(texts, 40):
+        at = rng.randrange(len(line))
+        texts.append(line[:at] + rng.choice(["", "x", line[at] + "z"]) + line[at + 1 :])
+    rng.shuffle(texts)
+
+    def near(a, b):
+        same = len(os.path.commonprefix([a, b]))
+        a, b = a[same:][::-1], b[same:][::-1]
+        same = len(os.path.commonprefix([a, b]))
+        return len(a) - same <= 30 and edits_apart(a[same:], b[same:], 2)
+
+    want = {i: [0] for i, a in enumerate(texts) if any(a == b or abs(len(a) - len(b)) <= 2 and near(a, b) for b in texts[:i])}
+    pairs, checked = [], lines.checked
+
+    def counted(of, *args):
+        pairs.append(of.filter("not of_pivot").count())
+        return checked(of, *args)
+
+    monkeypatch.setattr(lines, "checked", counted)
+    got = {r.doc: r.removed for r in lines.removed_lines(docs_of(spark, texts)).collect()}
+    assert got == want and len(want) >= 20
+    assert sum(pairs[1:]) < 300  # of the smaller keys
+
+
 def test_line_distance(spark):
     rng = random.Random(3)
     pairs = []

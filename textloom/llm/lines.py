@@ -165,8 +165,26 @@ def checked(pairs: DataFrame, texts: DataFrame, edits: int) -> DataFrame:
     return both.filter(within(F.col("a"), F.col("b"), edits)).select("h", "g", "of_pivot")
 
 
+#: Where a line of a smaller key leaves the pivot: it takes blocks of 2^bits characters of [head.same, head.far] and of the tail, 2^own
+#: being the smallest size that it needs; a and b are the blocks of this key.
+SPOT = "struct<own: int, bits: int, a: int, b: int, head: struct<same: int, far: int>, tail: struct<same: int, far: int>>"
+
+
+def meets(x: Column, y: Column) -> Column:
+    """Whether two lines of a smaller key may be near by where they leave its pivot, and meet in this key and no other of that pivot.
+
+    From the start and from the end, the later one to leave must do so within the reach of the other; that place names the block.
+    """
+
+    def side(name: str, block: str) -> Column:
+        later = F.greatest(x[name]["same"], y[name]["same"])
+        return (later <= F.least(x[name]["far"], y[name]["far"])) & (F.call_function("shiftright", later, x["bits"]) == x[block])
+
+    return x.isNull() | (x["bits"] == F.greatest(x["own"], y["own"])) & side("head", "a") & side("tail", "b")
+
+
 def split_keys(large: DataFrame, edits: int, level: int) -> DataFrame:
-    """(k, gives, takes, place, h): smaller keys for lines that meet under a large one.
+    """(k, gives, takes, place, h, spot): smaller keys for lines that meet under a large one.
 
     large: (k, place, h, line, other, near), other being the key's pivot and near whether line is near it. A line shares
     `same` characters with the pivot and reaches `far` into it. If two lines are near, then the one that shares more
@@ -174,16 +192,24 @@ def split_keys(large: DataFrame, edits: int, level: int) -> DataFrame:
     takes the blocks from its `same` to its `far`, from the start and from the end, and two such lines
     that are near have a pair of blocks in common. A line near the pivot gives its blocks from the start alone; those take them that
     are within twice as many edits of the pivot, as any line near it must be.
+
+    Blocks have several sizes, each eight times the one before. A line takes few blocks of the smallest size that is as long as its own
+    reach (2^own), and those of all larger sizes that a line of its key needs; two lines meet at the larger one of theirs.
     """
-    block = F.greatest(F.lit(16 >> (2 * level)), F.shiftright(F.length("line"), 4 + level))
-    blocks = lambda at: F.sequence(F.floor(F.col(f"{at}.same") / F.col("block")), F.floor(F.col(f"{at}.far") / F.col("block")))
-    key_size = F.min(block).over(Window.partitionBy("k"))
-    rows = large.withColumn("block", key_size).withColumns({"head": reach(F.col("line"), F.col("other"), edits), "tail": reach(F.reverse("line"), F.reverse("other"), edits)})
-    rows = rows.withColumn("close", F.when(F.col("near"), F.lit(False)).otherwise(within(F.col("line"), F.col("other"), 2 * edits)))
-    apart = rows.filter(~F.col("near")).withColumn("a", F.explode(blocks("head"))).withColumn("b", F.explode(blocks("tail")))
-    apart = apart.select(F.xxhash64("k", "a", "b").alias("k"), F.lit(True).alias("gives"), F.lit(True).alias("takes"), "place", "h")
-    beside = rows.filter("near or close").withColumn("a", F.explode(blocks("head")))
-    beside = beside.select(F.xxhash64("k", "a", F.lit("near")).alias("k"), F.col("near").alias("gives"), (~F.col("near")).alias("takes"), "place", "h")
+    base = max(4 - 2 * level, 0)
+    both = large.withColumns({"head": reach(F.col("line"), F.col("other"), edits), "tail": reach(F.reverse("line"), F.reverse("other"), edits)})
+    rows = both.withColumn("close", F.when(F.col("near"), F.lit(False)).otherwise(within(F.col("line"), F.col("other"), 2 * edits)))
+    bits = lambda span: F.lit(base) + 3 * F.ceil(F.greatest(F.log2(span + 1) - base, F.lit(0.0)) / 3).cast("int")
+    span = lambda at: F.col(f"{at}.far") - F.col(f"{at}.same")
+    rows = rows.withColumns({"of_head": bits(span("head")), "of_both": bits(F.greatest(span("head"), span("tail")))})
+    rows = rows.withColumn("top", F.max(F.when(F.col("near"), F.col("of_head")).otherwise(F.col("of_both"))).over(Window.partitionBy("k")))
+    block = lambda at: F.sequence(*(F.call_function("shiftright", F.col(f"{at}.{c}"), F.col("bits")) for c in ("same", "far")))
+    spot = lambda own, tail: F.struct(F.col(own).alias("own"), "bits", "a", "b", "head", tail.alias("tail")).cast(SPOT).alias("spot")
+    apart = rows.filter(~F.col("near")).withColumn("bits", F.explode(F.sequence("of_both", "top", F.lit(3)))).withColumn("a", F.explode(block("head"))).withColumn("b", F.explode(block("tail")))
+    apart = apart.select(F.xxhash64("k", "bits", "a", "b").alias("k"), (F.col("bits") == F.col("of_both")).alias("gives"), F.lit(True).alias("takes"), "place", "h", spot("of_both", F.col("tail")))
+    beside = rows.filter("near or close").withColumn("bits", F.explode(F.sequence("of_head", "top", F.lit(3)))).withColumn("a", F.explode(block("head"))).withColumn("b", F.lit(0))
+    none = F.struct(F.lit(0).alias("same"), F.lit(0).alias("far"))
+    beside = beside.select(F.xxhash64("k", "bits", "a", F.lit("near")).alias("k"), F.col("near").alias("gives"), (~F.col("near")).alias("takes"), "place", "h", spot("of_head", none))
     return shared_keys(apart.union(beside))
 
 
@@ -193,36 +219,39 @@ def near_lines(rows: DataFrame, texts: DataFrame, edits: int, few: int = FEW, le
     rows: (k, gives, takes, place, h), the lines of each key; two of them may be near if one gives and the other takes.
     texts: (h, line). In a key of at most `few` lines all such pairs are verified. In a larger one every line meets
     the earliest, the pivot: that decides copies with few edits of one original, however many they are. The
-    others meet again in smaller keys (see split_keys). Keys still larger after `levels` rounds have all pairs verified.
+    others meet again in smaller keys (see split_keys), where pairs are verified that may be near by where they leave the pivot; so
+    are those of a larger one that few lines give. Keys still larger after `levels` rounds have all such pairs verified.
     """
     found = None
+    rows = rows.withColumn("spot", F.lit(None).cast(SPOT))
     columns = rows.columns
     for level in range(levels):
-        rows = stored(rows)
-        if rows.isEmpty():
+        of_key = Window.partitionBy("k")
+        small = (F.count(F.lit(1)).over(of_key) <= few) | F.lit(level == levels - 1)
+        if level:
+            small |= F.sum(F.col("gives").cast("int")).over(of_key) <= few // 2
+        members = stored(rows.withColumns({"small": small, "pivot": F.min(F.struct("place", "h")).over(of_key)["h"]}))
+        if members.isEmpty():
             break
-        last = F.lit(level == levels - 1)
-        keys = rows.groupBy("k").agg(F.countDistinct("h").alias("lines"), F.min(F.struct("place", "h")).alias("pivot"))
-        keys = stored(keys.select("k", ((F.col("lines") <= few) | last).alias("small"), F.col("pivot.h").alias("pivot")))
-        members = rows.join(keys.hint("merge"), "k")
-        all_ = members.filter("small").select("k", "gives", "takes", "place", "h")
-        other = all_.select("k", F.col("gives").alias("its"), F.col("takes").alias("it_takes"), F.col("place").alias("before"), F.col("h").alias("g"))
+        all_ = members.filter("small").select(*columns)
+        other = all_.select("k", F.col("gives").alias("its"), F.col("takes").alias("it_takes"), F.col("place").alias("before"), F.col("h").alias("g"), F.col("spot").alias("its_spot"))
         earlier = (all_["k"] == other["k"]) & (F.col("before") < F.col("place")) & ((F.col("gives") & F.col("it_takes")) | (F.col("its") & F.col("takes")))
-        pairs = all_.join(other.hint("merge"), earlier).select("h", "g")
+        pairs = all_.join(other.hint("merge"), earlier & meets(F.col("spot"), F.col("its_spot"))).select("h", "g")
         large = members.filter("not small and h <> pivot")
         # which lines are near their pivot matters below, for those that were decided before, too
         met = stored(checked(pairs.select("h", "g", F.lit(False).alias("of_pivot")).union(large.select("h", F.col("pivot").alias("g"), F.lit(True))), texts, edits))
         near = met.select("h").distinct()
         found = near if found is None else found.union(near)
-        if level < levels - 1:
-            undecided = large.join(found.distinct().hint("merge"), "h", "left_anti").select("k").distinct()
-            # Keys of one pivot become one, as copies share several keys.
-            large = large.join(undecided.hint("merge"), "k", "left_semi").select(F.col("pivot").alias("k"), "place", "h", "pivot").distinct()
-            to_pivot = met.filter("of_pivot").select("h", F.col("g").alias("pivot"), F.lit(True).alias("near"))
-            large = large.join(to_pivot.hint("merge"), ["h", "pivot"], "left").withColumn("near", F.coalesce("near", F.lit(False)))
-            large = large.join(texts.hint("merge"), "h").join(texts.select(F.col("h").alias("pivot"), F.col("line").alias("other")).hint("merge"), "pivot")
-            rows = split_keys(large, edits, level).select(*columns)
-    return rows.select("h").limit(0) if found is None else found.distinct()
+        if large.isEmpty():
+            break
+        undecided = large.join(found.distinct().hint("merge"), "h", "left_anti").select("k").distinct()
+        # Keys of one pivot become one, as copies share several keys.
+        large = large.join(undecided.hint("merge"), "k", "left_semi").select(F.col("pivot").alias("k"), "place", "h", "pivot").distinct()
+        to_pivot = met.filter("of_pivot").select("h", F.col("g").alias("pivot"), F.lit(True).alias("near"))
+        large = large.join(to_pivot.hint("merge"), ["h", "pivot"], "left").withColumn("near", F.coalesce("near", F.lit(False)))
+        large = large.join(texts.hint("merge"), "h").join(texts.select(F.col("h").alias("pivot"), F.col("line").alias("other")).hint("merge"), "pivot")
+        rows = split_keys(large, edits, level).select(*columns)
+    return texts.select("h").limit(0) if found is None else found.distinct()
 
 
 def removed_lines(docs: DataFrame, doc: str = "doc_id", text: str = "text", edits: int = EDITS, least: int = LEAST_CHARS) -> DataFrame:
