@@ -234,9 +234,12 @@ def near_lines(rows: DataFrame, texts: DataFrame, edits: int, few: int = FEW, le
         if members.isEmpty():
             break
         all_ = members.filter("small").select(*columns)
-        other = all_.select("k", F.col("gives").alias("its"), F.col("takes").alias("it_takes"), F.col("place").alias("before"), F.col("h").alias("g"), F.col("spot").alias("its_spot"))
-        earlier = (all_["k"] == other["k"]) & (F.col("before") < F.col("place")) & ((F.col("gives") & F.col("it_takes")) | (F.col("its") & F.col("takes")))
-        pairs = all_.join(other.hint("merge"), earlier & meets(F.col("spot"), F.col("its_spot"))).select("h", "g")
+        # Those that give against those that take, so that a key of few that give costs no square; a pair that both give and take comes once.
+        other = all_.filter("gives").select("k", F.col("takes").alias("it_takes"), F.col("place").alias("its_place"), F.col("h").alias("g"), F.col("spot").alias("its_spot"))
+        later = F.col("its_place") < F.col("place")
+        once = (F.col("h") != F.col("g")) & (later | ~(F.col("gives") & F.col("it_takes")))
+        pairs = all_.filter("takes").join(other.hint("merge"), (all_["k"] == other["k"]) & once & meets(F.col("spot"), F.col("its_spot")))
+        pairs = pairs.select(F.when(later, F.col("h")).otherwise(F.col("g")).alias("h"), F.when(later, F.col("g")).otherwise(F.col("h")).alias("g"))
         large = members.filter("not small and h <> pivot")
         # which lines are near their pivot matters below, for those that were decided before, too
         met = stored(checked(pairs.select("h", "g", F.lit(False).alias("of_pivot")).union(large.select("h", F.col("pivot").alias("g"), F.lit(True))), texts, edits))
