@@ -15,6 +15,7 @@ import pytest
 import tiktoken
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from oracle import same
 from textloom.llm import bpe, chat, components, decontaminate, jaccard, katz, language, lines, quality, registry, secrets, substrings
 
@@ -59,6 +60,19 @@ def test_bpe(spark, odd):
     assert bpe.decode(bpe.encode(empty(spark))).count() == 0
 
 
+def test_bpe_decodes_in_the_pass_that_encodes(spark, odd):
+    docs = docs_of(spark, odd).withColumn("decoded", F.lit(7))
+    rows = bpe.encode(docs, decoded="decoded")
+    assert rows.columns == [*(c for c in docs.columns if c not in ("ids", "decoded")), "ids", "decoded"]
+    twice = bpe.decode(bpe.encode(docs))
+    key = lambda r: (r.doc_id, r.ids, bytes(r.decoded))
+    assert sorted(map(key, rows.collect())) == sorted(map(key, twice.collect()))
+    assert [bytes(r.decoded) for r in rows.orderBy("doc_id").collect()] == [(t or "").encode() for t in odd]
+    assert bpe.encode(empty(spark), decoded="decoded").count() == 0
+    stage = corpus_pipeline.encode(spark, docs_of(spark, odd), "")
+    assert str(stage._jdf.queryExecution().executedPlan()).count("MapInArrow") == 1
+
+
 def test_bpe_random_strings():
     ranks = bpe.read_ranks(public_tokenizers.path(bpe.RANKS_FILE))
     own = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})

@@ -169,13 +169,30 @@ class MergeReplay:
         return find.findall(text) if len(text) < 1 << 20 else (m[0] for m in find.finditer(text))
 
 
+def bytes_of(token: Callable[[int], bytes], flat: np.ndarray, counts: list[int | None]) -> pa.Array:
+    """The bytes of each row's ids, which lie one row after another in flat; null for a count of None."""
+    found, begin = [], 0
+    for n in counts:
+        found.append(None if n is None else b"".join(map(token, flat[begin : begin + n].tolist())))
+        begin += n or 0
+    return pa.array(found, pa.binary())
+
+
 def encode(
-    docs: DataFrame, text: str = "text", ids: str = "ids", ranks_path: str | None = None, pattern: str = public_tokenizers.PATTERN
+    docs: DataFrame,
+    text: str = "text",
+    ids: str = "ids",
+    ranks_path: str | None = None,
+    pattern: str = public_tokenizers.PATTERN,
+    decoded: str | None = None,
 ) -> DataFrame:
     """docs with an array<int> column `ids`: each match of `pattern` in the whole text, encoded by itself.
 
+    If `decoded` is given, a binary column of that name has what decode() makes of the ids, by the same
+    Python worker: a pass of its own has a worker for each core besides, with a copy of the ids.
+
     A null text is taken as empty and has no ids; so has an empty one. Repeated rows stay. Other columns
-    pass through; one named like `ids` is replaced. An empty table gives an empty table. The ranks file
+    pass through; one named like `ids` or `decoded` is replaced. An empty table gives an empty table. The ranks file
     is read on the driver and broadcast: a vocabulary of fixed size that doesn't grow with the data.
     """
     ranks = read_ranks(ranks_path or public_tokenizers.path(RANKS_FILE))
@@ -183,16 +200,19 @@ def encode(
 
     def make() -> Callable[[list], list[pa.Array]]:
         replay = MergeReplay(Merges.of(**shared.value), pattern)
+        token = {r: t for t, r in replay.merges.ranks.items()}.__getitem__ if decoded else None
 
         def work(texts: list) -> list[pa.Array]:
             flat, counts = replay.encode(texts)
             offsets = np.zeros(len(counts) + 1, np.int32)
             np.cumsum(counts, out=offsets[1:])
-            return [pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat, pa.int32()))]
+            found = [pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat, pa.int32()))]
+            return [*found, bytes_of(token, flat, counts.tolist())] if decoded else found
 
         return work
 
-    return add_columns(docs, text, T.StructType([T.StructField(ids, T.ArrayType(T.IntegerType()))]), make, most=SHARD)
+    added = [T.StructField(ids, T.ArrayType(T.IntegerType())), *([T.StructField(decoded, T.BinaryType())] if decoded else [])]
+    return add_columns(docs, text, T.StructType(added), make, most=SHARD)
 
 
 def decode(coded: DataFrame, ids: str = "ids", out: str = "decoded", ranks_path: str | None = None) -> DataFrame:
@@ -212,13 +232,9 @@ def decode(coded: DataFrame, ids: str = "ids", out: str = "decoded", ranks_path:
             lengths = [n or 0 for n in column.value_lengths().to_pylist()]
             for part in pieces(batch, lengths, 1 << 19):
                 rows = part.column(part.schema.get_field_index(ids))
-                flat = rows.flatten().to_numpy(zero_copy_only=False).tolist()
-                found, begin = [], 0
-                for n in rows.value_lengths().to_pylist():
-                    found.append(None if n is None else b"".join(map(token, flat[begin : begin + n])))
-                    begin += n or 0
+                found = bytes_of(token, rows.flatten().to_numpy(zero_copy_only=False), rows.value_lengths().to_pylist())
                 arrays = [part.column(part.schema.get_field_index(c)) for c in kept]
-                yield pa.RecordBatch.from_arrays([*arrays, pa.array(found, pa.binary())], names=schema.names)
+                yield pa.RecordBatch.from_arrays([*arrays, found], names=schema.names)
 
     return coded.select(*(F.col(f"`{c}`") for c in kept)).mapInArrow(tidy(run), schema)
 
@@ -226,7 +242,7 @@ def decode(coded: DataFrame, ids: str = "ids", out: str = "decoded", ranks_path:
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of ids and of decoded bytes for every document."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    both = decode(encode(docs).select("doc_id", "ids"))
+    both = encode(docs, decoded="decoded")
     return both.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
