@@ -467,6 +467,25 @@ def test_katz_every_word_has_pairs(spark, odd, monkeypatch):
         assert r.base_score == pytest.approx(base) and r.score == pytest.approx(score)
 
 
+def test_katz_deletes_tables_of_rare_pairs(spark, odd, monkeypatch):
+    monkeypatch.setattr(katz, "KNOWN_WORDS", 40)
+    kept, keep = [], katz.stored
+
+    def stored(df):
+        kept.append(((out := keep(df)).columns, out, out.inputFiles()))
+        return out
+
+    monkeypatch.setattr(katz, "stored", stored)
+    docs = docs_of(spark, odd)
+    rows = katz.score_texts(docs, docs.filter("doc_id % 3 <> 2"))
+    left = {tuple(columns): any(os.path.exists(f.removeprefix("file:")) for f in files) for columns, _, files in kept}
+    assert not left["h", "w", "n"] and not left["h", "w", "p"] and left["a", "b", "h", "w", "m", "p"]
+    told = next(df for columns, df, _ in kept if columns[-1] == "p" and "a" in columns)
+    assert told.filter("p is null").count() and told.filter("p is not null").count()
+    assert told.filter("(p is null) <> (h is not null) or (p is null) <> (w is not null)").count() == 0
+    assert rows.count() == len(odd)
+
+
 def test_quality(spark, odd):
     texts = [*odd, "# $ x\nsame line\nsame line\n\n\n|", "w1 w2 w3 w4 w5 w1 w2 w3 w4 w5 z " * 2]
     docs = docs_of(spark, texts)

@@ -14,7 +14,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ASCII_LOWER, STEP, U64, mix, stored, table
+from .common import ASCII_LOWER, STEP, U64, forget, mix, stored, table
 
 #: Words with pairs of their own, the most frequent; None: all. Others share the class 0 and are told apart inside it.
 VOCABULARY: int | None = None
@@ -498,6 +498,7 @@ def score_rare(asked: DataFrame, words: Words, pairs: Pairs, rare: Rare) -> Data
     """(a, b, score) of the asked pairs (a, b, h, w, m), each of which has a word that isn't known everywhere.
 
     Known words' weights are broadcast, so only rare words and pairs are keys of an exchange.
+    Tables go as soon as nothing reads them any more, rare.pairs too.
     """
     spark, size = asked.sparkSession, len(words.share)
     contexts = F.broadcast(spark.createDataFrame(pd.DataFrame({"h": np.arange(size), "total": pairs.total, "scale": pairs.scale, "backoff": np.where(pairs.total > 0, pairs.backoff, 1.0)})))
@@ -505,7 +506,10 @@ def score_rare(asked: DataFrame, words: Words, pairs: Pairs, rare: Rare) -> Data
     found = rare.pairs.filter("h < 0").join(rare.contexts.hint("merge"), "h").select("h", "w", "n", "total", "scale")
     found = found.unionAll(rare.pairs.filter("h >= 0").join(contexts, "h").select("h", "w", "n", "total", "scale"))
     found = stored(found.select("h", "w", F.log10(F.col("scale") * discounted(pairs.discount, "n") / F.col("total")).alias("p")))
-    told = stored(asked.join(found.hint("merge"), ["h", "w"], "left").select("a", "b", "h", "w", "m", "p"))
+    forget(rare.pairs)
+    own = [F.when(F.col("p").isNull(), F.col(x)).alias(x) for x in ("h", "w")]  # of a pair that was found only p is asked for
+    told = stored(asked.join(found.hint("merge"), ["h", "w"], "left").select("a", "b", *own, "m", "p"))
+    forget(found)
     other = told.filter("p is null").select("a", "b", "h", "w", "m")
     other = other.filter("w < 0").join(rare.words.hint("merge"), "w", "left").unionByName(other.filter("w >= 0").join(shares, "w"))
     weighed = [other.filter("h < 0").join(rare.contexts.hint("merge"), "h", "left"), other.filter("h >= 0").join(contexts, "h")]
