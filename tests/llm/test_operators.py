@@ -286,6 +286,13 @@ def test_lines_that_leave_an_original_at_several_places(spark, monkeypatch):
     assert sum(pairs[1:]) < 300  # of the smaller keys
 
 
+def test_lines_are_compared_with_an_original_once(spark):
+    """Both kinds of smaller keys come from one pass over a large key's lines, by one expression for all edits and both ends."""
+    rows = spark.createDataFrame([], "k long, place struct<doc: long, version: long, at: int>, h long, line string, other string, near boolean")
+    plan = lines.split_keys(rows, 2, 0)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Union" not in plan and plan.count("reverse(line") == 1
+
+
 def test_line_distance(spark):
     rng = random.Random(3)
     pairs = []

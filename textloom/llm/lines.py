@@ -67,19 +67,24 @@ def common_start(a: Column, b: Column) -> Column:
 
 def reach(line: Column, other: Column, edits: int) -> Column:
     """Struct (same, far): how many characters two strings share at their start, and how far into the other one `edits`
-    edits of the first lead at most: an edit at every difference, each followed by all that is equal."""
+    edits of the first lead at most: an edit at every difference, each followed by all that is equal.
 
-    def onward(x: Column, y: Column) -> Column:
-        x, y = F.least(x, F.length(line)), F.least(y, F.length(other))
-        same = common_start(line.substr(x + 1, F.length(line)), other.substr(y + 1, F.length(other)))
-        return let(same, lambda n: F.struct((x + n).alias("x"), (y + n).alias("y")))
+    All edits and kinds of edits are one expression, as every task reads the plan that holds it.
+    """
+    moves = F.array(*(F.struct(F.lit(x).alias("x"), F.lit(y).alias("y")) for x, y in ((1, 1), (1, 0), (0, 1))))
+
+    def onward(at: Column) -> Column:
+        same = common_start(line.substr(at["x"] + 1, F.length(line)), other.substr(at["y"] + 1, F.length(other)))
+        return let(same, lambda n: F.struct((at["x"] + n).alias("x"), (at["y"] + n).alias("y")))
+
+    def moved(at: Column, move: Column) -> Column:
+        return F.struct(F.least(at["x"] + move["x"], F.length(line)).alias("x"), F.least(at["y"] + move["y"], F.length(other)).alias("y"))
 
-    more = lambda at: F.array(onward(at["x"] + 1, at["y"] + 1), onward(at["x"] + 1, at["y"]), onward(at["x"], at["y"] + 1))
+    more = lambda at: F.transform(moves, lambda move: let(moved(at, move), onward))
 
     def all_(same: Column) -> Column:
-        at = F.array(F.struct(same.alias("x"), same.alias("y")))
-        for _ in range(edits):
-            at = F.flatten(F.transform(at, more))
+        first = F.array(F.struct(same.alias("x"), same.alias("y")))
+        at = F.aggregate(F.array_repeat(F.lit(0), edits), first, lambda found, _: F.array_distinct(F.flatten(F.transform(found, more))))
         return F.struct(same.alias("same"), F.array_max(F.transform(at, lambda one: one["y"])).alias("far"))
 
     return let(common_start(line, other), all_)
@@ -157,12 +162,10 @@ def place(of: str = "") -> Column:
     return F.struct(*(F.col(of + c).alias(c) for c in ("doc", "version", "at")))
 
 
-def checked(pairs: DataFrame, texts: DataFrame, edits: int) -> DataFrame:
-    """Of the pairs (h, g, of_pivot) of lines, those within `edits` edits of each other."""
-    pairs = pairs.groupBy("h", "g").agg(F.max("of_pivot").alias("of_pivot"))
-    one = pairs.join(texts.select("h", F.col("line").alias("a")).hint("merge"), "h")
-    both = one.join(texts.select(F.col("h").alias("g"), F.col("line").alias("b")).hint("merge"), "g")
-    return both.filter(within(F.col("a"), F.col("b"), edits)).select("h", "g", "of_pivot")
+def checked(pairs: DataFrame, edits: int) -> DataFrame:
+    """(h, g, of_pivot) of the pairs (h, g, of_pivot, a, b) of which the lines a and b are within `edits` edits of each other."""
+    pairs = pairs.groupBy("h", "g").agg(F.max("of_pivot").alias("of_pivot"), F.first("a").alias("a"), F.first("b").alias("b"))
+    return pairs.filter(within(F.col("a"), F.col("b"), edits)).select("h", "g", "of_pivot")
 
 
 #: Where a line of a smaller key leaves the pivot: it takes blocks of 2^bits characters of [head.same, head.far] and of the tail, 2^own
@@ -184,7 +187,7 @@ def meets(x: Column, y: Column) -> Column:
 
 
 def split_keys(large: DataFrame, edits: int, level: int) -> DataFrame:
-    """(k, gives, takes, place, h, spot): smaller keys for lines that meet under a large one.
+    """(k, gives, takes, place, h, line, spot): smaller keys for lines that meet under a large one.
 
     large: (k, place, h, line, other, near), other being the key's pivot and near whether line is near it. A line shares
     `same` characters with the pivot and reaches `far` into it. If two lines are near, then the one that shares more
@@ -197,64 +200,81 @@ def split_keys(large: DataFrame, edits: int, level: int) -> DataFrame:
     reach (2^own), and those of all larger sizes that a line of its key needs; two lines meet at the larger one of theirs.
     """
     base = max(4 - 2 * level, 0)
-    both = large.withColumns({"head": reach(F.col("line"), F.col("other"), edits), "tail": reach(F.reverse("line"), F.reverse("other"), edits)})
+    ends = F.array(F.struct(F.col("line").alias("a"), F.col("other").alias("b")), F.struct(F.reverse("line").alias("a"), F.reverse("other").alias("b")))
+    both = large.withColumn("ends", F.transform(ends, lambda x: reach(x["a"], x["b"], edits)))
     rows = both.withColumn("close", F.when(F.col("near"), F.lit(False)).otherwise(within(F.col("line"), F.col("other"), 2 * edits)))
+    rows = rows.select("k", "place", "h", "line", "near", "close", F.get("ends", F.lit(0)).alias("head"), F.get("ends", F.lit(1)).alias("tail"))
     bits = lambda span: F.lit(base) + 3 * F.ceil(F.greatest(F.log2(span + 1) - base, F.lit(0.0)) / 3).cast("int")
     span = lambda at: F.col(f"{at}.far") - F.col(f"{at}.same")
     rows = rows.withColumns({"of_head": bits(span("head")), "of_both": bits(F.greatest(span("head"), span("tail")))})
     rows = rows.withColumn("top", F.max(F.when(F.col("near"), F.col("of_head")).otherwise(F.col("of_both"))).over(Window.partitionBy("k")))
+    # Both kinds of keys from one pass, so that no line is compared with its pivot twice.
+    way = lambda beside, own: F.transform(F.sequence(F.col(own), F.col("top"), F.lit(3)), lambda b: F.struct(F.lit(beside).alias("beside"), F.col(own).alias("own"), b.alias("bits")))
+    apart, beside = F.when(~F.col("near"), way(False, "of_both")), F.when(F.col("near") | F.col("close"), way(True, "of_head"))
+    rows = rows.withColumn("way", F.explode(F.flatten(F.array_compact(F.array(apart, beside))))).select("*", "way.beside", "way.own", "way.bits")
     block = lambda at: F.sequence(*(F.call_function("shiftright", F.col(f"{at}.{c}"), F.col("bits")) for c in ("same", "far")))
-    spot = lambda own, tail: F.struct(F.col(own).alias("own"), "bits", "a", "b", "head", tail.alias("tail")).cast(SPOT).alias("spot")
-    apart = rows.filter(~F.col("near")).withColumn("bits", F.explode(F.sequence("of_both", "top", F.lit(3)))).withColumn("a", F.explode(block("head"))).withColumn("b", F.explode(block("tail")))
-    apart = apart.select(F.xxhash64("k", "bits", "a", "b").alias("k"), (F.col("bits") == F.col("of_both")).alias("gives"), F.lit(True).alias("takes"), "place", "h", spot("of_both", F.col("tail")))
-    beside = rows.filter("near or close").withColumn("bits", F.explode(F.sequence("of_head", "top", F.lit(3)))).withColumn("a", F.explode(block("head"))).withColumn("b", F.lit(0))
+    rows = rows.withColumn("a", F.explode(block("head"))).withColumn("b", F.explode(F.when(F.col("beside"), F.array(F.lit(0))).otherwise(block("tail"))))
     none = F.struct(F.lit(0).alias("same"), F.lit(0).alias("far"))
-    beside = beside.select(F.xxhash64("k", "bits", "a", F.lit("near")).alias("k"), F.col("near").alias("gives"), (~F.col("near")).alias("takes"), "place", "h", spot("of_head", none))
-    return shared_keys(apart.union(beside))
+    return shared_keys(
+        rows.select(
+            F.when(F.col("beside"), F.xxhash64("k", "bits", "a", F.lit("near"))).otherwise(F.xxhash64("k", "bits", "a", "b")).alias("k"),
+            F.when(F.col("beside"), F.col("near")).otherwise(F.col("bits") == F.col("own")).alias("gives"),
+            (~F.col("beside") | ~F.col("near")).alias("takes"),
+            "place",
+            "h",
+            "line",
+            F.struct("own", "bits", "a", "b", "head", F.when(F.col("beside"), none).otherwise(F.col("tail")).alias("tail")).cast(SPOT).alias("spot"),
+        )
+    )
 
 
-def near_lines(rows: DataFrame, texts: DataFrame, edits: int, few: int = FEW, levels: int = LEVELS) -> DataFrame:
+def near_lines(rows: DataFrame, edits: int, few: int = FEW, levels: int = LEVELS) -> DataFrame:
     """(h): the lines that are within `edits` edits of one that first stands before them.
 
-    rows: (k, gives, takes, place, h), the lines of each key; two of them may be near if one gives and the other takes.
-    texts: (h, line). In a key of at most `few` lines all such pairs are verified. In a larger one every line meets
+    rows: (k, gives, takes, place, h, line), the lines of each key; two of them may be near if one gives and the other takes.
+    In a key of at most `few` lines all such pairs are verified. In a larger one every line meets
     the earliest, the pivot: that decides copies with few edits of one original, however many they are. The
     others meet again in smaller keys (see split_keys), where pairs are verified that may be near by where they leave the pivot; so
     are those of a larger one that few lines give. Keys still larger after `levels` rounds have all such pairs verified.
+
+    Lines have few keys, so rows carry the line itself: a round then has few exchanges.
     """
     found = None
     rows = rows.withColumn("spot", F.lit(None).cast(SPOT))
-    columns = rows.columns
+    columns = ["k", "gives", "takes", "place", "h", "line", "spot"]
     for level in range(levels):
         of_key = Window.partitionBy("k")
         small = (F.count(F.lit(1)).over(of_key) <= few) | F.lit(level == levels - 1)
         if level:
             small |= F.sum(F.col("gives").cast("int")).over(of_key) <= few // 2
-        members = stored(rows.withColumns({"small": small, "pivot": F.min(F.struct("place", "h")).over(of_key)["h"]}))
+        rows = rows.withColumns({"small": small, "first": F.min(F.struct("place", "h", "line")).over(of_key)})
+        members = stored(rows.select(*columns, "small", F.when(~F.col("small"), F.col("first.h")).alias("pivot"), F.when(~F.col("small"), F.col("first.line")).alias("other")))
         if members.isEmpty():
             break
         all_ = members.filter("small").select(*columns)
         # Those that give against those that take, so that a key of few that give costs no square; a pair that both give and take comes once.
-        other = all_.filter("gives").select("k", F.col("takes").alias("it_takes"), F.col("place").alias("its_place"), F.col("h").alias("g"), F.col("spot").alias("its_spot"))
+        other = all_.filter("gives").select("k", F.col("takes").alias("it_takes"), F.col("place").alias("its_place"), F.col("h").alias("g"), F.col("line").alias("its_line"), F.col("spot").alias("its_spot"))
         later = F.col("its_place") < F.col("place")
         once = (F.col("h") != F.col("g")) & (later | ~(F.col("gives") & F.col("it_takes")))
         pairs = all_.filter("takes").join(other.hint("merge"), (all_["k"] == other["k"]) & once & meets(F.col("spot"), F.col("its_spot")))
-        pairs = pairs.select(F.when(later, F.col("h")).otherwise(F.col("g")).alias("h"), F.when(later, F.col("g")).otherwise(F.col("h")).alias("g"))
-        large = members.filter("not small and h <> pivot")
+        ordered = lambda x, y: (F.when(later, F.col(x)).otherwise(F.col(y)), F.when(later, F.col(y)).otherwise(F.col(x)))  # noqa: E731, B023
+        (h, g), (a, b) = ordered("h", "g"), ordered("line", "its_line")
+        pairs = pairs.select(h.alias("h"), g.alias("g"), F.lit(False).alias("of_pivot"), a.alias("a"), b.alias("b"))
+        large = members.filter("not small and h <> pivot").select("k", "place", "h", "line", "pivot", "other")
         # which lines are near their pivot matters below, for those that were decided before, too
-        met = stored(checked(pairs.select("h", "g", F.lit(False).alias("of_pivot")).union(large.select("h", F.col("pivot").alias("g"), F.lit(True))), texts, edits))
+        met = stored(checked(pairs.union(large.select("h", "pivot", F.lit(True), "line", "other")), edits))
         near = met.select("h").distinct()
         found = near if found is None else found.union(near)
-        if large.isEmpty():
+        if level == levels - 1 or large.isEmpty():
             break
-        undecided = large.join(found.distinct().hint("merge"), "h", "left_anti").select("k").distinct()
+        decided = found.distinct().withColumn("decided", F.lit(True))
+        open_ = large.join(decided.hint("merge"), "h", "left").withColumn("open", F.max(F.col("decided").isNull()).over(of_key)).filter("open")
         # Keys of one pivot become one, as copies share several keys.
-        large = large.join(undecided.hint("merge"), "k", "left_semi").select(F.col("pivot").alias("k"), "place", "h", "pivot").distinct()
+        large = open_.groupBy("h", "pivot").agg(*(F.first(c).alias(c) for c in ("place", "line", "other")))
         to_pivot = met.filter("of_pivot").select("h", F.col("g").alias("pivot"), F.lit(True).alias("near"))
         large = large.join(to_pivot.hint("merge"), ["h", "pivot"], "left").withColumn("near", F.coalesce("near", F.lit(False)))
-        large = large.join(texts.hint("merge"), "h").join(texts.select(F.col("h").alias("pivot"), F.col("line").alias("other")).hint("merge"), "pivot")
-        rows = split_keys(large, edits, level).select(*columns)
-    return texts.select("h").limit(0) if found is None else found.distinct()
+        rows = split_keys(large.withColumnRenamed("pivot", "k"), edits, level)
+    return rows.select("h").limit(0) if found is None else found.distinct()
 
 
 def removed_lines(docs: DataFrame, doc: str = "doc_id", text: str = "text", edits: int = EDITS, least: int = LEAST_CHARS) -> DataFrame:
@@ -280,8 +300,7 @@ def removed_lines(docs: DataFrame, doc: str = "doc_id", text: str = "text", edit
     held = distinct.join(shared.hint("merge"), "h", "left").filter("keys is not null or times > 1")
     held = stored(held.select("h", place("m.").alias("place"), F.when(F.col("keys").isNotNull(), F.col("m.line")).alias("line"), "keys"))
     places = held.select("h", "place")
-    texts = held.filter("line is not null").select("h", "line")
-    near = near_lines(held.select(F.inline("keys"), "place", "h"), texts, edits)
+    near = near_lines(held.select(F.inline("keys"), "place", "h", "line"), edits)
     firsts = stored(places.join(near.withColumn("near", F.lit(True)).hint("merge"), "h", "left").select("h", F.col("place").alias("first"), "near"))
     told = lines.select("h", "doc", "version", "at").join(firsts.hint("merge"), "h")
     gone = told.filter((place() != F.col("first")) | F.col("near"))
