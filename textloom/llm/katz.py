@@ -507,15 +507,17 @@ def score_rare(asked: DataFrame, words: Words, pairs: Pairs, rare: Rare) -> Data
     found = found.unionAll(rare.pairs.filter("h >= 0").join(contexts, "h").select("h", "w", "n", "total", "scale"))
     found = stored(found.select("h", "w", F.log10(F.col("scale") * discounted(pairs.discount, "n") / F.col("total")).alias("p")))
     forget(rare.pairs)
-    own = [F.when(F.col("p").isNull(), F.col(x)).alias(x) for x in ("h", "w")]  # of a pair that was found only p is asked for
-    told = stored(asked.join(found.hint("merge"), ["h", "w"], "left").select("a", "b", *own, "m", "p"))
+    own = [F.when(F.col("p").isNull(), F.col(x)).alias(x) for x in ("h", "w")]
+    # Of pairs that were found a document's sum is all that is asked for, so they are one row.
+    told = asked.join(found.hint("merge"), ["h", "w"], "left").select("a", "b", *own, "m", (F.col("m") * F.col("p")).alias("p"))
+    told = stored(told.groupBy("a", "b", "h", "w").agg(F.sum("m").alias("m"), F.sum("p").alias("p")))
     forget(found)
     other = told.filter("p is null").select("a", "b", "h", "w", "m")
     other = other.filter("w < 0").join(rare.words.hint("merge"), "w", "left").unionByName(other.filter("w >= 0").join(shares, "w"))
     weighed = [other.filter("h < 0").join(rare.contexts.hint("merge"), "h", "left"), other.filter("h >= 0").join(contexts, "h")]
     lower = F.coalesce("backoff", F.lit(1.0)) * F.coalesce("share", F.lit(float(words.unseen)))
     lower = F.when(lower > 0, F.log10(lower)).otherwise(F.lit(float("-inf")))
-    return told.filter("p is not null").select("a", "b", (F.col("m") * F.col("p")).alias("score")).unionAll(
+    return told.filter("p is not null").select("a", "b", F.col("p").alias("score")).unionAll(
         weighed[0].unionByName(weighed[1]).select("a", "b", (F.col("m") * lower).alias("score"))
     )
 
