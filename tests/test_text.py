@@ -58,6 +58,13 @@ def test_markup(spark):
     assert one(spark, None, html.parse_markup).text is None
 
 
+def test_references_need_a_semicolon():
+    """A text cut within a reference keeps what is left of it, as in the SQL."""
+    assert html.text_of("<p>a &amp; b&amp</p>") == "\na & b&amp"
+    assert html.text_of("&&amp;am&copy &copy; &ampx; &#38 &#38; &#x26;") == "&&am&copy © &ampx; &#38 & &"
+    assert html.text_of('<div style="display:none">&amp</div><a href="?a=1&copy=2">x</a><xmp>a & b</xmp>') == "xa & b"
+
+
 def test_wrapper(spark):
     wrapped = "<DOCUMENT>\n<TYPE>10-K\n<TEXT>body</text>tail</TEXT></DOCUMENT>"
     assert tuple(one(spark, wrapped, text.strip_wrapper)) == ("body</text>tail", True)
