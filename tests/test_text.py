@@ -1,5 +1,6 @@
 import random
 import re
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -130,6 +131,56 @@ def test_training_equals_library(spark):
     assert all(count(t) == len(own.encode(t).ids) for t in rows)
 
 
+def test_executors_learn_what_one_process_learns(spark):
+    """Runs of one letter, ties, bounds of length and frequency; distinct chunks don't come to the driver."""
+    rng = random.Random(5)
+    texts = ["".join(rng.choice(["a", "aa", "aaa", "b", "ab", " ", "é", "\n", "7", "c" * 40]) for _ in range(60)) for _ in range(80)]
+    docs = spark.createDataFrame([(t,) for t in texts], "text string").repartition(5)
+    sizes = {"gpt2": 280, "digits": 270, "line": 285}
+    got = tokens.train_each(docs, sizes, 3)
+    for mode, size in sizes.items():
+        counted = sorted((r.chunk, r.n) for r in tokens.chunk_counts(docs, mode).collect())
+        want = tokens.train(counted, size, 3, tokens.LINE_TOKEN_MOST if mode == "line" else None)
+        assert got[mode].merges == want.merges and got[mode].bytes == want.bytes
+    assert tokens.train_on(docs.limit(0), 300).merges == [] and tokens.train_on(docs.limit(1), 300, 10**6).merges == []
+
+
+def test_batches_of_merges_are_those_made_one_by_one():
+    import numpy as np
+    import pyarrow as pa
+    import regex
+
+    from textloom.operators import learn
+
+    for seed in range(5, 12):
+        rng = random.Random(seed)
+        texts = ["".join(rng.choice(["a", "aa", "aaa", "b", "ab", " ", "é", "\n", "7", "c" * 40]) for _ in range(60)) for _ in range(80)]
+        for mode, size in {"gpt2": 330, "digits": 300, "line": 900}.items():
+            longest = tokens.LINE_TOKEN_MOST if mode == "line" else None
+            counted = sorted(Counter(c for t in texts for c in regex.findall(tokens.CHUNKS[mode], t)).items())
+            rows = pa.table({"k": [0] * len(counted), "chunk": [c for c, _ in counted], "n": [n for _, n in counted]}).to_batches(max_chunksize=100)
+            blocks = learn.blocks_of(iter(rows), [np.array(tokens.ID, np.uint16)])[0]
+            chooser = learn.Chooser([13, *[1] * 256], size, 3, longest)
+            for b in blocks:
+                chooser.change(*b.counts())
+            while batch := chooser.batch():
+                pairs = sorted((a << learn.SHIFT | b, len(chooser.size) - len(batch) + k) for k, (a, b) in enumerate(batch))
+                ends = [np.isin(np.arange(size), x) for x in zip(*batch, strict=True)]
+                for b in blocks:
+                    chooser.change(*b.merge(np.array([k for k, _ in pairs]), np.array([n for _, n in pairs], np.uint16), *ends))
+            assert chooser.merges == tokens.train(counted, size, 3, longest).merges
+
+
+def test_training_collects_merges_alone(spark, monkeypatch):
+    collected = []
+    for name in ("collect", "toLocalIterator", "toPandas", "toArrow"):
+        kept = getattr(type(spark.range(0)), name)
+        monkeypatch.setattr(type(spark.range(0)), name, lambda self, *a, f=kept, **b: collected.append(self.columns) or f(self, *a, **b))
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    assert len(tokens.train_on(docs, 300).merges) == 43
+    assert collected and not any("chunk" in c for c in collected)
+
+
 def test_model_round_trip(spark, tmp_path):
     model = tokens.train([(" the", 5), (" then", 3), ("ab", 2)], 270)
     tokens.save(spark, model, str(tmp_path), {"name": "m"})
