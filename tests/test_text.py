@@ -1,3 +1,4 @@
+import hashlib
 import random
 import re
 from collections import Counter
@@ -219,6 +220,27 @@ def test_every_pattern_is_counted_in_tokens(spark):
     assert queries.QUERIES["pattern_token_costs"](spark, "/root/testdata/sf0.001").select("pattern").distinct().count() == len(patterns.COSTS)
 
 
+def test_digits_of_any_script_are_counted_fast(spark):
+    import time
+
+    from textloom.functions.text import digit_class
+    from textloom.operators import profile
+
+    rows = ["7" * 30 + " rows", "٣" * 11 + "x" * 10, "²" * 11 + "é" * 10, "²" * 10 + "é" * 10 + "x", "7" * 20, "a" * 2001, None]
+    got = [r.flag for r in profile.line_flags(spark.createDataFrame([(x,) for x in rows], "line string").coalesce(1)).collect()]
+    assert got == ["digit_dense", "digit_dense", "digit_dense", None, None, "long", None]
+    many = spark.range(0, 8000, 1, 1).select(F.concat(F.repeat(F.lit("Der Bericht führt fort, "), F.lit(60)), F.col("id").cast("string")).alias("line")).localCheckpoint()
+    plain = F.regexp_count(F.col("line"), F.lit(f"(?U)[{digit_class()}]"))
+
+    def seconds(df):
+        begin = time.perf_counter()
+        df.collect()
+        return time.perf_counter() - begin
+
+    fast, slow = profile.line_flags(many).agg(F.count_if(F.col("flag") == "long")), many.agg(F.sum(plain))
+    assert min(seconds(fast) for _ in range(3)) < min(seconds(slow) for _ in range(2)) / 2
+
+
 def test_training_takes_the_train_split(spark):
     sf = "/root/testdata/sf0.001"
     train = {r.doc_id for r in queries.train_eval_split(spark, sf).filter("split = 'train'").collect()}

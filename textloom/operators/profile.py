@@ -66,7 +66,9 @@ def census(docs: DataFrame, text: str = "text", patterns: dict[str, str] = CENSU
 def line_flags(lines: DataFrame, line: str = "line") -> DataFrame:
     """Lines with `flag`: long beyond 2000 characters, else dense in digits."""
     n = F.length(line)
-    digits = F.regexp_count(F.col(line), F.lit(f"(?U)[{digit_class()}]"))
+    # The class of all digits asks a hundred questions of each character, so it sees only those beyond ASCII.
+    beyond = F.regexp_replace(line, "[\\x00-\\x7f]+", "")
+    digits = F.regexp_count(F.col(line), F.lit("[0-9]")) + F.regexp_count(beyond, F.lit(f"(?U)[{digit_class()}]"))
     return lines.withColumn("flag", F.when(n > 2000, "long").when((n > 20) & (digits / n > 0.5), "digit_dense"))
 
 
