@@ -241,6 +241,38 @@ def test_digits_of_any_script_are_counted_fast(spark):
     assert min(seconds(fast) for _ in range(3)) < min(seconds(slow) for _ in range(2)) / 2
 
 
+def test_quotas_read_the_rows_once(spark, monkeypatch):
+    """Companies of several years, ties over years, a target beyond what there is; one job for all forms and years."""
+    rng = random.Random(8)
+    rows = [(f"{rng.randint(1, 40):010d}", f"a{k}", rng.choice([1995, 1996, 1997, 1998]), rng.choice(["10K", "8K", "13D"])) for k in range(300)]
+    df = spark.createDataFrame(rows, "cik string, accession string, year int, form string")
+
+    def want(target, years, form):
+        digest = lambda a: hashlib.md5(f"42:{a}".encode()).hexdigest()
+        out, used = [], set()
+        for year, most in [*((y, max(1, target // len(years))) for y in years), *((y, target) for y in years)]:
+            least = {}
+            for cik, a, y, f in rows:
+                if y == year and f == form and cik not in used:
+                    least[cik] = min(least.get(cik, ("z", "")), (digest(a), a))
+            taken = sorted((m, cik) for cik, m in least.items())[: max(0, min(most, target - len(out)))]
+            out += [(cik, m[1], year) for m, cik in taken]
+            used |= {cik for _, cik in taken}
+        return out
+
+    reads = []
+    kept = type(df).collect
+    monkeypatch.setattr(type(df), "collect", lambda self: reads.append(1) or kept(self))
+    years = [1996, 1995, 1997]
+    for target in (1, 7, 20, 500):
+        del reads[:]
+        out = choose.form_sample(df, 2 * target, ["8K", "10K"], years)
+        assert len(reads) == 1
+        got = [tuple(r) for r in out.collect()]
+        assert sorted(got) == sorted((*r, f) for f in ("8K", "10K") for r in want(target, years, f))
+    assert sorted(map(tuple, choose.quota_sample(df.filter("form = '10K'"), 20, years).collect())) == sorted(want(20, years, "10K"))
+
+
 def test_training_takes_the_train_split(spark):
     sf = "/root/testdata/sf0.001"
     train = {r.doc_id for r in queries.train_eval_split(spark, sf).filter("split = 'train'").collect()}

@@ -25,43 +25,44 @@ def parse_index(lines: DataFrame, forms: list[str] | None = None, line: str = "v
     return rows.filter(F.col("form").isin(forms)) if forms else rows
 
 
-def quota_sample(rows: DataFrame, target: int, years: list[int], seed: int = 42) -> DataFrame:
-    """At most one row of each cik and `target` in all: an even quota by year, then what is left in the order of years.
+def _quotas(rows: DataFrame, forms: list[str] | None, target: int, years: list[int], seed: int) -> dict:
+    """The picked (cik, accession, year) by form, forms picked each by itself (None: all rows together), from one pass over the rows.
 
-    Years are taken one after another because a cik used in one is closed to later ones; each step moves keys
-    and a bounded number of rows only: target rows at most are held by the driver.
+    An even quota by year, then what is left in the order of years. Years are taken one after another because a cik used in
+    one is closed to later ones. A step that takes n after k were picked takes from its year's first k + n <= target ciks, so
+    the driver gets `target` rows of each form and year at most.
     """
+    form = F.lit("") if forms is None else F.col("form")
     order = F.md5(F.concat(F.lit(f"{seed}:"), F.col("accession")))
-    keyed = rows.filter(F.col("year").isin(years)).select("cik", "accession", "year", order.alias("h"))
-    spark = rows.sparkSession
-    picked: list = []
+    own = rows.filter(F.col("year").isin(years)).select(form.alias("form"), "year", "cik", F.struct(order.alias("h"), "accession").alias("m"))
+    if forms is not None:
+        own = own.filter(F.col("form").isin(forms))
+    first = own.groupBy("form", "year", "cik").agg(F.min("m").alias("m"))
+    nth = F.row_number().over(Window.partitionBy("form", "year").orderBy("m.h", "m.accession"))
+    begin: dict = {}
+    for r in first.withColumn("nth", nth).filter(F.col("nth") <= target).orderBy("nth").collect():
+        begin.setdefault((r.form, r.year), []).append((r.cik, r.m.accession, r.year))
     quota = max(1, target // len(years)) if years else 0
-    schema = "cik string, accession string, year int"
-
-    def take(year: int, n: int) -> None:
-        n = min(n, target - len(picked))
-        if n <= 0:
-            return
-        own = keyed.filter(F.col("year") == year)
-        if picked:
-            used = spark.createDataFrame([(r.cik,) for r in picked], "cik string")
-            own = own.join(F.broadcast(used), "cik", "left_anti")  # target rows at most
-        first = own.groupBy("cik").agg(F.min(F.struct("h", "accession")).alias("m"))
-        picked.extend(first.select("cik", F.col("m.accession").alias("accession"), F.lit(year).alias("year"), F.col("m.h").alias("h")).orderBy("h", "accession").limit(n).collect())
-
-    for year in years:
-        take(year, quota)
-    for year in years:
-        take(year, target - len(picked))
-    return spark.createDataFrame([(r.cik, r.accession, r.year) for r in picked], schema)
+    out: dict = {}
+    for f in [""] if forms is None else forms:
+        picked, used = [], set()
+        for year, most in [*((y, quota) for y in years), *((y, target) for y in years)]:
+            open_to = [r for r in begin.get((f, year), []) if r[0] not in used][: max(0, min(most, target - len(picked)))]
+            picked += open_to
+            used |= {r[0] for r in open_to}
+        out[f] = picked
+    return out
+
+
+def quota_sample(rows: DataFrame, target: int, years: list[int], seed: int = 42) -> DataFrame:
+    """At most one row of each cik and `target` in all: an even quota by year, then what is left in the order of years."""
+    return rows.sparkSession.createDataFrame(_quotas(rows, None, target, years, seed)[""], "cik string, accession string, year int")
 
 
 def form_sample(rows: DataFrame, target: int, forms: list[str], years: list[int], seed: int = 42, limit: int | None = None) -> DataFrame:
     """The target split evenly over forms, each sampled by itself."""
-    parts = [quota_sample(rows.filter(F.col("form") == f), max(1, target // len(forms)), years, seed).withColumn("form", F.lit(f)) for f in forms]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionAll(p)
+    picked = _quotas(rows, forms, max(1, target // len(forms)), years, seed)
+    out = rows.sparkSession.createDataFrame([(*r, f) for f in forms for r in picked[f]], "cik string, accession string, year int, form string")
     return out.limit(limit) if limit else out
 
 
