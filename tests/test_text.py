@@ -220,6 +220,31 @@ def test_every_pattern_is_counted_in_tokens(spark):
     assert queries.QUERIES["pattern_token_costs"](spark, "/root/testdata/sf0.001").select("pattern").distinct().count() == len(patterns.COSTS)
 
 
+def test_pattern_sample_ranks_few_rows(spark):
+    """The same matches as by ranking all; rows that reach one task's window are about as many as are taken."""
+    from pyspark.sql import Window
+
+    found = spark.range(60000).select(F.when(F.col("id") % 3 == 0, "p").otherwise("q").alias("pattern"), F.lit("x").alias("found"), F.concat(F.lit("k"), F.col("id").cast("string")).alias("key"))
+    found = found.union(spark.createDataFrame([("r", "y", str(k)) for k in range(3)], "pattern string, found string, key string"))
+    order = Window.partitionBy("pattern").orderBy(F.md5(F.concat(F.lit("42:"), F.col("key"))), "key")
+    want = {(r.pattern, r.key) for r in found.withColumn("nth", F.row_number().over(order)).filter("nth <= 2000").collect()}
+    sample = tokens.pattern_sample(found)
+    rows = sample.collect()
+    assert len(rows) == len(want) == 4003 and {(r.pattern, r.key) for r in rows} == want
+    assert {(r.pattern, r.instances) for r in rows} == {("p", 20000), ("q", 40000), ("r", 3)}
+    kept = []
+
+    def visit(node):
+        if node.nodeName() == "Window":
+            kept.append(node.child())
+        for k in range(node.children().size()):
+            visit(node.children().apply(k))
+
+    visit(sample._jdf.queryExecution().optimizedPlan())
+    top = kept[0].children().apply(0) if kept[0].children().size() else kept[0]
+    assert spark._jvm.org.apache.spark.sql.classic.Dataset.ofRows(spark._jsparkSession, top).count() < 4200
+
+
 def test_digits_of_any_script_are_counted_fast(spark):
     import time
 
