@@ -220,6 +220,19 @@ def test_every_pattern_is_counted_in_tokens(spark):
     assert queries.QUERIES["pattern_token_costs"](spark, "/root/testdata/sf0.001").select("pattern").distinct().count() == len(patterns.COSTS)
 
 
+def test_costs_count_every_match(spark):
+    """3,000 matches of two lengths, of which a sample of 2,000 holds the shares only by luck."""
+    found = spark.range(3000).select(F.lit("p").alias("pattern"), F.when(F.col("id") < 1, "wwww").otherwise("x").alias("found"))
+    model = tokens.train([("zz", 5)], 257)
+    r = tokens.pattern_tokens(found, {"gpt2": (model, "gpt2")}).first()
+    assert (r.instances, r.mean_bytes, r.mean_tokens) == (3000, pytest.approx(2 + 3 / 3000), 2.0)
+    sf, rows = "/root/testdata/sf0.001", queries.QUERIES["pattern_token_costs"](spark, "/root/testdata/sf0.001").collect()
+    lines = queries.filing_lines(spark, sf).select(F.explode(patterns.matches(F.col("line"))).alias("m")).select("m.pattern", F.octet_length("m.found").alias("b"))
+    sums = {x["pattern"]: (x.n, x.b / x.n + 1) for x in lines.groupBy("pattern").agg(F.count(F.lit(1)).alias("n"), F.sum("b").alias("b")).collect()}
+    assert max(n for n, _ in sums.values()) > 2000
+    assert all((r.instances, r.mean_bytes) == (sums[r.pattern][0], pytest.approx(sums[r.pattern][1], rel=1e-12)) for r in rows)
+
+
 def test_pattern_sample_ranks_few_rows(spark):
     """The same matches as by ranking all; rows that reach one task's window are about as many as are taken."""
     from pyspark.sql import Window
